@@ -165,7 +165,10 @@ def equal_bin(value: Column, low: float, high: float, n: int) -> Column:
     step = (high - low) / n
     if step <= 0:
         return F.when(value.isNotNull(), F.lit(0))
-    return F.least(F.floor((value - low) / step), F.lit(n - 1)).cast("int")
+    i = F.floor((value - low) / step)
+    # The quotient may be one step off at an edge; the edges low + i * step decide.
+    i = i + (value >= (i + 1) * step + low).cast("int") - (value < i * step + low).cast("int")
+    return F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)).cast("int")
 
 
 # -- vectors (higher-order functions, interpreted per element) -------------------------------

@@ -108,11 +108,11 @@ _F = ("mean_amt", "median_amt", "std_amt", "fraud_rate")
 _ENTITY_SQL = f"""WITH {KEYS_SQL}, {_risk_cte('id_01')}, {_risk_cte('id_02')},
 g AS (SELECT avg("TransactionAmt") AS am, stddev_pop("TransactionAmt") AS asd, avg("isFraud") AS fr,
   {", ".join(f'avg("{v}") AS m_{v}, stddev_pop("{v}") AS s_{v}' for v in V_COLUMNS)} FROM tx),
-cs AS ({_card_sql(12)}),
-es AS ({_email_sql(12)}),
-ads AS (SELECT a1, a2, {rsql(_STAT, 12)}, count(*) AS count, count(DISTINCT card1) AS n_cards
+cs AS ({_card_sql(None)}),
+es AS ({_email_sql(None)}),
+ads AS (SELECT a1, a2, {rsql(_STAT, None)}, count(*) AS count, count(DISTINCT card1) AS n_cards
         FROM kx GROUP BY a1, a2),
-ds AS (SELECT device, {rsql(_STAT, 12)}, count(*) AS count, count(DISTINCT card1) AS n_cards
+ds AS (SELECT device, {rsql(_STAT, None)}, count(*) AS count, count(DISTINCT card1) AS n_cards
        FROM kx GROUP BY device)
 SELECT kx."TransactionID",
   {rsql({**_ft("card", (*_F, "max_amt", "days_active", "txn_freq"), "cs"),
@@ -129,7 +129,7 @@ SELECT kx."TransactionID",
              f'abs(("{v}" - m_{v}) / s_{v})' for v in V_COLUMNS) + ")",
          "feat_v_feature_zscore_mean": "(" + " + ".join(
              f'abs(("{v}" - m_{v}) / s_{v})' for v in V_COLUMNS) + f") / {len(V_COLUMNS)}",
-  }, 5)},
+  }, 10)},
   cs.count AS feat_card_count, cs.unique_addr AS feat_card_unique_addr,
   cs.unique_emails AS feat_card_unique_emails, cs.unique_devices AS feat_card_unique_devices,
   cs.unique_products AS feat_card_unique_products,
@@ -167,7 +167,7 @@ def entity_features(spark, sf_dir):
     return rounded(out.select(*[
         F.col(c).cast("bigint").alias(c)
         if any(c == f"feat_{e}_{n}" for e in ("card", "email", "addr", "device") for n in _INT)
-        else F.col(c) for c in out.columns]), 5)
+        else F.col(c) for c in out.columns]), 10)
 
 
 _SPLIT_AT = '(SELECT quantile_cont("TransactionDT", 0.6) FROM tx)'

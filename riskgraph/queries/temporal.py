@@ -148,21 +148,21 @@ SELECT "TransactionID",
   {rsql({
     "feat_hour_sin": "sin(2 * pi() * h / 24)", "feat_hour_cos": "cos(2 * pi() * h / 24)",
     "feat_dow_sin": "sin(2 * pi() * d / 7)", "feat_dow_cos": "cos(2 * pi() * d / 7)",
-    "feat_interarrival_mean_card": CARD_COLS["gap_mean"],
-    "feat_interarrival_std_card": CARD_COLS["gap_std"],
     "feat_amt_log1p": 'ln(1 + "TransactionAmt")',
     "feat_amt_cents": '("TransactionAmt" * 100) % 100',
     "feat_amt_zscore": '("TransactionAmt" - m) / s',
     "feat_amt_percentile": 'least(greatest(("TransactionAmt" - p05) / (p95 - p05), 0), 1)',
-    "feat_amt_cum_1h": _all_sum(HOUR), "feat_amt_cum_24h": _all_sum(DAY),
-    "feat_amt_cum_7d": _all_sum(WEEK), "feat_amt_card_cum": CARD_COLS["cum_amount"],
     "feat_amt_vs_card_mean": '"TransactionAmt" - cm', "feat_amt_vs_card_max": '"TransactionAmt" - cx',
     "feat_amt_ratio_to_card_min": '"TransactionAmt" / greatest(cn, 1e-6)',
     "feat_amt_ratio_to_card_max": '"TransactionAmt" / greatest(cx, 1e-6)',
     "feat_amt_acceleration": "acc", "feat_amt_jerk": CARD_COLS["jerk"],
     "feat_velocity_1h": _all_n(HOUR), "feat_velocity_24h": _all_n(DAY) + "/ 24.0::double",
     "feat_velocity_7d": _all_n(WEEK) + "/ 168.0::double",
-  }, 4)},
+  }, 8)},
+  {rsql({"feat_interarrival_mean_card": CARD_COLS["gap_mean"],
+         "feat_interarrival_std_card": CARD_COLS["gap_std"],
+    "feat_amt_cum_1h": _all_sum(HOUR), "feat_amt_cum_24h": _all_sum(DAY),
+    "feat_amt_cum_7d": _all_sum(WEEK), "feat_amt_card_cum": CARD_COLS["cum_amount"]}, 3)},
   h AS feat_hour, d AS feat_dow,
   cast(d >= 5 AS bigint) AS feat_is_weekend, cast(h < 6 OR h >= 22 AS bigint) AS feat_is_night,
   cast(h BETWEEN 9 AND 17 AND d < 5 AS bigint) AS feat_is_business_hours,
@@ -181,7 +181,9 @@ FROM x {WINDOW_SQL}"""
 @query("temporal_features", _TEMPORAL_SQL)
 def temporal_features(spark, sf_dir):
     tx = transactions(spark, sf_dir)
-    return rounded(T.fit_temporal(tx).transform(tx), 4)
+    return rounded(T.fit_temporal(tx).transform(tx), 8, {
+        "feat_interarrival_mean_card": 3, "feat_interarrival_std_card": 3,
+        **{f"feat_amt_{c}": 3 for c in ("cum_1h", "cum_24h", "cum_7d", "card_cum")}})
 
 
 @query("card_amount_stats", f"""WITH {TX_SQL} SELECT card1 AS key, min("TransactionDT") AS first_seen,
