@@ -129,15 +129,16 @@ def card_projection(keys: DataFrame, entities=("addr", "device", "email"), hub_c
         "card_a", "card_b").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def peer_cards(df: DataFrame, kinds=("address", "device"), limit: int | None = None) -> DataFrame:
-    """``card, peer``: cards sharing an address or device (both known), each pair once per direction.
+def peer_cards(df: DataFrame, kinds=("address", "device"), limit: int | None = 100,
+               hub_cap: int = HUB_CAP) -> DataFrame:
+    """``card, peer``: cards sharing an address or device (both known).
 
-    The lookup goes card -> entity -> card as two equi-joins.  ``limit`` keeps that many peers per
-    card, a feature of the lookup, not of its execution.
+    With ``limit``, the ``limit`` smallest peers of every card: they are among the ``limit + 1``
+    smallest cards of each key, so only those are offered to a key's members, however many there
+    are.  Without it, all peers through keys of fewer than ``hub_cap`` cards, as in the projection.
     """
     by = {
-        "address": (F.concat_ws("|", F.col(ADDR[0]).cast("string"), F.col(ADDR[1]).cast("string")),
-                    F.col(ADDR[0]).isNotNull()),
+        "address": (address_text(F.col(ADDR[0]), F.col(ADDR[1])), F.col(ADDR[0]).isNotNull()),
         "device": (S.device_key(F.col(DEVICE[0]), F.col(DEVICE[1])), F.col(DEVICE[1]).isNotNull()),
         "device_info": (F.col(DEVICE[1]), F.col(DEVICE[1]).isNotNull()),
     }
@@ -147,8 +148,16 @@ def peer_cards(df: DataFrame, kinds=("address", "device"), limit: int | None = N
         one = df.filter(known & F.col(CARD).isNotNull()).select(
             F.lit(kind).alias("etype"), key.alias("key"), F.col(CARD).alias("card")).distinct()
         m = one if m is None else m.unionByName(one)
-    other = m.withColumnRenamed("card", "peer")
-    pairs = m.join(other, ["etype", "key"]).filter(F.col("card") != F.col("peer")).select("card", "peer").distinct()
+    if limit is None:
+        size = m.groupBy("etype", "key").agg(F.count(F.lit(1)).alias("_n")).filter(
+            (F.col("_n") >= 2) & (F.col("_n") < hub_cap)).drop("_n")
+        m = m.join(size, ["etype", "key"])
+        offered = m
+    else:
+        w = Window.partitionBy("etype", "key").orderBy("card")
+        offered = m.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit + 1).drop("_r")
+    pairs = m.join(offered.withColumnRenamed("card", "peer"), ["etype", "key"]).filter(
+        F.col("card") != F.col("peer")).select("card", "peer").distinct()
     if limit is None:
         return pairs
     w = Window.partitionBy("card").orderBy("peer")

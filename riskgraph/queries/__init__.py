@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("temporal", "entity", "clean", "quality", "drift", "evidence")
+FAMILIES = ("temporal", "entity", "clean", "quality", "drift", "evidence", "graph")
 
 
 def load():

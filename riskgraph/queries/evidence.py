@@ -115,7 +115,7 @@ def evidence_frame(spark, sf_dir):
 
     tx = transactions(spark, sf_dir)
     al = alerts(spark, sf_dir)
-    peers = peer_cards(tx, ("device_info",)).groupBy("card").agg(
+    peers = peer_cards(tx, ("device_info",), limit=None).groupBy("card").agg(
         F.count(F.lit(1)).alias("n_unique_neighbors"))
     extra = tx.select(F.col("TransactionID").alias("_t"), "DeviceType", "P_emaildomain", "id_02", "ProductCD")
     return (
