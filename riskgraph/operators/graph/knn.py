@@ -34,7 +34,7 @@ def similar_cases(queries: DataFrame, bank: DataFrame, *, k: int = 3, query_id:
     nq, nb = max(1, ceil(q.count() / block)), max(1, ceil(b.count() / block))
     q = q.select(F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bb"),
                  F.lit(0).alias("side"), "id", "v")
-    b = b.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("qb"),
+    b = b.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"),
                  F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("bb"), F.lit(1).alias("side"), "id", "v")
     qid, cid = q.schema["id"].dataType.simpleString(), b.schema["id"].dataType.simpleString()
 
