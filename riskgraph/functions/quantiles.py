@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.plans.hot import MIN_ROWS
-
-_ACCURACY = 10000
+from riskgraph.plans.scan import running_sums
 
 
 def quantiles(
@@ -18,86 +17,40 @@ def quantiles(
     name: str = "q",
     *,
     max_group: int = MIN_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """One row per group with ``name``: array of the quantiles ``probs`` of ``value``.
 
-    ``percentile`` keeps one counter per distinct value of a group in memory.  That is fine up to
-    ``max_group`` rows.  For larger groups a sketch brackets each wanted rank within
-    ``2/accuracy`` of the rows, and only the bracketed values are counted and ranked, so no task
-    ever holds the group.
+    ``percentile`` keeps one counter per distinct value of a group in memory, which is fine up to
+    ``max_group`` rows.  Beyond that the values are counted, the counts are summed along the values
+    with :func:`running_sums` (which splits large groups), and each wanted rank is looked up; no
+    task holds a group.  ``rows``, when the caller knows it, bounds the size of any group and
+    saves the counting job.
     """
     keys = list(keys)
     probs = [float(p) for p in probs]
-    rows = df.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("_v")
-    )
-    top = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if top is None or top <= max_group:
-        return rows.groupBy(*keys).agg(F.percentile("_v", probs).alias(name))
-    return _bracketed(rows, keys, probs, name)
+    x = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    if rows is None or rows > max_group:
+        rows = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if rows <= max_group:
+        return x.groupBy(*keys).agg(F.percentile("_v", probs).alias(name))
+    counted = x.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = running_sums(counted, keys, "_v", {"_upto": F.col("_c")}, min_rows=max_group, totals=True)
+    return cum.groupBy(*keys).agg(ranked_values(probs, "_v", "_upto", "_upto_total").alias(name))
+
 
+def ranked_values(probs, value: str, upto: str, total: str):
+    """Quantiles as an aggregate over distinct values with their running counts and the total.
 
-def _bracketed(rows: DataFrame, keys: list[str], probs: list[float], name: str) -> DataFrame:
-    slack = 3.0 / _ACCURACY
-    lo = [max(p - slack, 0.0) for p in probs]
-    hi = [min(p + slack, 1.0) for p in probs]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", lo, _ACCURACY).alias("_lo"),
-        F.percentile_approx("_v", hi, _ACCURACY).alias("_hi"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-    )
-    wanted = sketch.select(
-        *keys, "_n",
-        F.posexplode(F.arrays_zip(
-            F.array(*[F.lit(p) for p in probs]).alias("p"), F.col("_lo").alias("lo"),
-            F.col("_hi").alias("hi"),
-        )).alias("_i", "_z"), "_min", "_max",
-    ).select(
-        *keys, "_i",
-        # An open end is used at the borders so that the first and last ranks stay inside.
-        F.when(F.col("_z.p") - slack <= 0, F.col("_min")).otherwise(F.col("_z.lo")).alias("_lo"),
-        F.when(F.col("_z.p") + slack >= 1, F.col("_max")).otherwise(F.col("_z.hi")).alias("_hi"),
-        (F.col("_z.p") * (F.col("_n") - 1)).alias("_h"),
-    )
-    ranges = wanted.groupBy(*keys).agg(
-        F.collect_list(F.struct("_i", "_lo", "_hi")).alias("_ranges")
-    ).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_ranges")
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & rows[k].eqNullSafe(F.col(f"_k_{k}"))
-    # A value above a bracket adds nothing to it, one below adds to its offset, one inside counts.
-    tagged = (
-        rows.join(ranges, cond)
-        .select(*keys, "_v", F.explode("_ranges").alias("_r"))
-        .filter(F.col("_v") <= F.col("_r._hi"))
-        .select(
-            *keys, F.col("_r._i").alias("_i"),
-            F.when(F.col("_v") >= F.col("_r._lo"), F.col("_v")).alias("_v"),
-        )
-    )
-    counted = tagged.groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
-    cum = counted.withColumn(
-        "_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ).filter(F.col("_v").isNotNull())
-    join_on = [*keys, "_i"]
-    w2 = wanted.select(*[F.col(k).alias(f"_w_{k}") for k in join_on], "_h")
-    cond = F.lit(True)
-    for k in join_on:
-        cond = cond & cum[k].eqNullSafe(F.col(f"_w_{k}"))
-    picked = cum.join(w2, cond).groupBy(*keys, "_i").agg(
-        F.min(F.when(F.col("_upto") > F.floor("_h"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > F.ceil("_h"), F.col("_v"))).alias("_b"),
-        F.first("_h").alias("_h"),
-    )
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_h") - F.floor("_h"))
-    return picked.groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))), lambda s: s["v"]
-        ).alias(name)
-    )
+    The value at rank r (from 0) is the smallest one whose running count exceeds r.
+    """
+    out = []
+    for p in probs:
+        h = F.lit(float(p)) * (F.col(total) - 1)
+        low = F.min(F.when(F.col(upto) > F.floor(h), F.col(value)))
+        high = F.min(F.when(F.col(upto) > F.ceil(h), F.col(value)))
+        out.append(low + (high - low) * F.max(h - F.floor(h)))
+    return F.array(*out)
 
 
 def quantile_list(df: DataFrame, value: str, probs, **kw) -> list[float] | None:

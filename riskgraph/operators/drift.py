@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgraph.functions import scalar as S
-from riskgraph.functions.quantiles import quantiles
+from riskgraph.functions.quantiles import ranked_values
 from riskgraph.plans.hot import MIN_ROWS
+from riskgraph.plans.lineage import cut
 from riskgraph.plans.scan import running_sums
 
 EPS = 1e-6
@@ -107,45 +108,49 @@ def _fill_bins(counts: DataFrame, features, n: int) -> DataFrame:
         F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("c", F.lit(0)).alias("c"))
 
 
-def _bin_counts(long: DataFrame, bin_col) -> DataFrame:
-    return long.groupBy("feature", bin_col.alias("bin")).agg(
+def _bin_counts(values: DataFrame, bin_col) -> DataFrame:
+    return values.groupBy("feature", bin_col.alias("bin")).agg(
+        F.sum("r").alias("r"), F.sum("c").alias("c"))
+
+
+def value_counts(reference: DataFrame, current: DataFrame, features, *, min_rows: int = MIN_ROWS) -> DataFrame:
+    """``feature, v, r, c`` per distinct value with running counts ``cr, cc`` and their totals.
+
+    The one pass over the data; every numeric measure is a small aggregate of this written table.
+    """
+    long = both_sides(numeric_values(reference, features), numeric_values(current, features))
+    per = long.groupBy("feature", "v").agg(
         F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
+    return cut(running_sums(per, ["feature"], "v", {"cr": F.col("r"), "cc": F.col("c")},
+                            min_rows=min_rows, totals=True), "values")
 
 
-def numeric_psi(reference: DataFrame, current: DataFrame, features, *, n_bins: int = 10,
-                max_group: int = MIN_ROWS) -> DataFrame:
-    """``feature, psi`` over reference-quantile bins."""
-    ref = numeric_values(reference, features)
+def _psi(values: DataFrame, features, n_bins: int) -> DataFrame:
     probs = [i / n_bins for i in range(n_bins + 1)]
-    edges = {r["feature"]: _increasing(r["q"])
-             for r in quantiles(ref, ["feature"], "v", probs, max_group=max_group).collect()}
+    edges = {r["feature"]: _increasing(r["q"]) for r in values.filter("cr_total > 0").groupBy("feature").agg(
+        ranked_values(probs, "v", "cr", "cr_total").alias("q")).collect()}
     have = [f for f in features if f in edges]
-    long = both_sides(ref, numeric_values(current, features))
+    if not have:
+        return values.sparkSession.createDataFrame([], "feature string, psi double")
     b = _per_feature(have, lambda f: S.bin_index(F.col("v"), edges[f]))
-    counts = _fill_bins(_bin_counts(long.filter(F.col("feature").isin(have)), b), have, n_bins)
+    counts = _fill_bins(_bin_counts(values.filter(F.col("feature").isin(have)), b), have, n_bins)
     return _share_sums(counts, ["feature"], EPS, _psi_term).select("feature", F.col("value").alias("psi"))
 
 
-def js_divergence(reference: DataFrame, current: DataFrame, features, *, n_bins: int = 30) -> DataFrame:
-    """``feature, js`` (nats) over equal bins of the pooled range; a constant feature gives 0."""
-    long = both_sides(numeric_values(reference, features), numeric_values(current, features))
-    ranges = {r["feature"]: (float(r["lo"]), float(r["hi"])) for r in long.groupBy("feature").agg(
+def _js(values: DataFrame, features, n_bins: int) -> DataFrame:
+    ranges = {r["feature"]: (float(r["lo"]), float(r["hi"])) for r in values.groupBy("feature").agg(
         F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
     have = [f for f in features if f in ranges]
+    if not have:
+        return values.sparkSession.createDataFrame([], "feature string, js double")
     b = _per_feature(have, lambda f: S.equal_bin(F.col("v"), *ranges[f], n_bins))
-    counts = _fill_bins(_bin_counts(long, b), have, n_bins)
+    counts = _fill_bins(_bin_counts(values, b), have, n_bins)
     return _share_sums(counts, ["feature"], JS_EPS, _js_term).select("feature", F.col("value").alias("js"))
 
 
-def ks_test(reference: DataFrame, current: DataFrame, features, *, min_rows: int = MIN_ROWS) -> DataFrame:
-    """``feature, ks, ks_pvalue``: largest gap of the two distribution functions."""
-    long = both_sides(numeric_values(reference, features), numeric_values(current, features))
-    per = long.groupBy("feature", "v").agg(
-        F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
-    cum = running_sums(per, ["feature"], "v", {"cr": F.col("r"), "cc": F.col("c")},
-                       min_rows=min_rows, totals=True)
+def _ks(values: DataFrame) -> DataFrame:
     gap = F.abs(F.col("cr") / F.col("cr_total") - F.col("cc") / F.col("cc_total"))
-    out = cum.groupBy("feature").agg(
+    out = values.groupBy("feature").agg(
         F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"),
         F.first("cr_total").cast("double").alias("_n"), F.first("cc_total").cast("double").alias("_m"))
     en = F.sqrt(F.col("_n") * F.col("_m") / (F.col("_n") + F.col("_m")))
@@ -153,7 +158,23 @@ def ks_test(reference: DataFrame, current: DataFrame, features, *, min_rows: int
     tail = sum((F.lit(2.0 * (-1) ** (j - 1)) * F.exp(-2.0 * j * j * lam * lam) for j in range(1, 31)),
                F.lit(0.0))
     p = F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
-    return out.select("feature", "ks", p.alias("ks_pvalue"))
+    both = (F.col("_n") > 0) & (F.col("_m") > 0)
+    return out.select("feature", F.when(both, F.col("ks")).otherwise(0.0).alias("ks"), F.when(both, p).alias("ks_pvalue"))
+
+
+def numeric_psi(reference: DataFrame, current: DataFrame, features, *, n_bins: int = 10) -> DataFrame:
+    """``feature, psi`` over reference-quantile bins, repeated edges raised by 1e-9."""
+    return _psi(value_counts(reference, current, features), features, n_bins)
+
+
+def js_divergence(reference: DataFrame, current: DataFrame, features, *, n_bins: int = 30) -> DataFrame:
+    """``feature, js`` (nats) over equal bins of the pooled range; a constant feature gives 0."""
+    return _js(value_counts(reference, current, features), features, n_bins)
+
+
+def ks_test(reference: DataFrame, current: DataFrame, features) -> DataFrame:
+    """``feature, ks, ks_pvalue``: largest gap of the two distribution functions, asymptotic p."""
+    return _ks(value_counts(reference, current, features))
 
 
 def category_counts(reference: DataFrame, current: DataFrame, features) -> DataFrame:
@@ -231,18 +252,15 @@ def drift_report(reference: DataFrame, current: DataFrame, *, numeric=None, cate
         categorical += [c for c in rest if kinds[c] == "categorical"]
     parts = []
     if numeric:
-        long = both_sides(numeric_values(reference, numeric), numeric_values(current, numeric))
-        r, c = F.col("side") == 0, F.col("side") == 1
-        base = long.groupBy("feature").agg(
-            F.count_if(r).alias("n_reference"), F.count_if(c).alias("n_current"),
-            (F.avg(F.when(c, F.col("v"))) - F.avg(F.when(r, F.col("v")))).alias("mean_shift"))
-        parts.append(
-            base.join(numeric_psi(reference, current, numeric, n_bins=n_bins, max_group=max_group), "feature", "left")
-            .join(ks_test(reference, current, numeric, min_rows=max_group), "feature", "left")
-            .join(js_divergence(reference, current, numeric, n_bins=js_bins), "feature", "left")
-            .withColumn("kind", F.lit("numeric")))
+        values = value_counts(reference, current, numeric, min_rows=max_group)
+        base = values.groupBy("feature").agg(
+            F.first("cr_total").alias("n_reference"), F.first("cc_total").alias("n_current"),
+            (F.sum(F.col("v") * F.col("c")) / F.first("cc_total")
+             - F.sum(F.col("v") * F.col("r")) / F.first("cr_total")).alias("mean_shift"))
+        parts.append(base.join(_psi(values, numeric, n_bins), "feature", "left").join(_ks(values), "feature", "left")
+                     .join(_js(values, numeric, js_bins), "feature", "left").withColumn("kind", F.lit("numeric")))
     if categorical:
-        counts = category_counts(reference, current, categorical)
+        counts = cut(category_counts(reference, current, categorical), "categories")
         base = counts.groupBy("feature").agg(F.sum("r").alias("n_reference"), F.sum("c").alias("n_current"))
         parts.append(base.join(categorical_psi(counts), "feature", "left")
                      .join(chi_square(counts), "feature", "left").withColumn("kind", F.lit("categorical")))

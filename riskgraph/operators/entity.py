@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from riskgraph.functions import scalar as S
 from riskgraph.functions.quantiles import quantile_list, quantiles
 from riskgraph.plans.hot import MIN_ROWS
+from riskgraph.plans.lineage import cut_all
 from riskgraph.schema import (
     ADDR, ADDR_STATS, AMOUNT, CARD, CARD_STATS, DAY, DEVICE, DEVICE_STATS, EMAIL, EMAIL_STATS,
     EMAIL_TO, ENTITY_FEATURES, ID, PRODUCT, TARGET, TIME,
@@ -32,76 +33,68 @@ def with_entity_keys(df: DataFrame) -> DataFrame:
     })
 
 
-def entity_stats(df: DataFrame, key: str, *, target: str = TARGET, amount: str = AMOUNT,
-                 max_group: int = MIN_ROWS) -> DataFrame:
+def entity_stats(df: DataFrame, key: str, *, target: str = TARGET, amount: str = AMOUNT, extra=(),
+                 max_group: int = MIN_ROWS, rows: int | None = None) -> DataFrame:
     """Per value of ``key``: amount mean, median, sample deviation, maximum, count, target rate.
 
-    Null keys are left out.  Sums combine before the shuffle; the exact median goes through
-    :func:`quantiles`, which never holds a hot group in one task.
+    Null keys are left out.  Everything combines before the shuffle.  When no group can exceed
+    ``max_group`` rows (``rows`` bounds it) the median is part of the same aggregation; otherwise
+    it comes from :func:`quantiles`, which never holds a hot group in one task.  ``extra`` are
+    further aggregates of the same pass.
     """
     a = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
-    rows = df.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("key"), a.alias("_a"), F.col(target).cast("double").alias("_y")
-    )
-    base = rows.groupBy("key").agg(
-        F.avg("_a").alias("mean_amt"),
-        F.coalesce(F.stddev_samp("_a"), F.lit(0.0)).alias("std_amt"),
-        F.max("_a").alias("max_amt"),
+    small = rows is not None and rows <= max_group
+    base = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
+        F.avg(a).alias("mean_amt"),
+        F.coalesce(F.stddev_samp(a), F.lit(0.0)).alias("std_amt"),
+        F.max(a).alias("max_amt"),
         F.count(F.lit(1)).alias("count"),
-        F.avg("_y").alias("fraud_rate"),
-    )
-    med = quantiles(rows, ["key"], "_a", [0.5], max_group=max_group).select(
-        F.col("key").alias("_mk"), F.col("q")[0].alias("median_amt")
+        F.avg(F.col(target).cast("double")).alias("fraud_rate"),
+        *([F.percentile(a, 0.5).alias("median_amt")] if small else []),
+        *extra,
     )
+    if small:
+        return base
+    pairs = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_mk"), a.alias("_a"))
+    med = quantiles(pairs, ["_mk"], "_a", [0.5], max_group=max_group, rows=rows).select(
+        "_mk", F.col("q")[0].alias("median_amt"))
     return base.join(med, base["key"] == med["_mk"], "left").drop("_mk")
 
 
 def distinct_per(df: DataFrame, key: str, values: dict[str, object]) -> DataFrame:
-    """Distinct values per key, null counted as a value of its own.
+    """Distinct values per key, null counted as a value of its own, all counts from one pass.
 
-    Each (key, value) pair is made unique first, so a hot key is spread by its values.
+    The (key, name, value) triples are made unique first, so a hot key is spread by its values.
     """
-    out = None
-    for name, v in values.items():
-        pairs = df.filter(F.col(key).isNotNull()).select(
-            F.col(key).alias("key"), F.struct(v).alias("_v")
-        ).distinct()
-        one = pairs.groupBy("key").agg(F.count(F.lit(1)).alias(name))
-        out = one if out is None else out.join(one, "key", "outer")
-    return out
+    items = F.array(*[F.struct(F.lit(n).alias("n"), v.cast("string").alias("v")) for n, v in values.items()])
+    seen = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.explode(items).alias("i")).select(
+        "key", "i.n", "i.v").distinct()
+    return seen.groupBy("key").agg(*[F.count_if(F.col("n") == n).alias(n) for n in values])
 
 
-def activity(df: DataFrame, key: str, *, time: str = TIME) -> DataFrame:
-    """Days between first and last row, and rows per day (at least one day)."""
+def activity(*, time: str = TIME) -> list:
+    """Aggregates: days between first and last row, and rows per day (at least one day)."""
     days = (F.max(time) - F.min(time)) / DAY
-    return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
-        days.alias("days_active"),
-        (F.count(F.lit(1)) / F.greatest(days, F.lit(1.0))).alias("txn_freq"),
-    )
+    return [days.alias("days_active"), (F.count(F.lit(1)) / F.greatest(days, F.lit(1.0))).alias("txn_freq")]
 
 
-def card_family_means(df: DataFrame, key: str = CARD) -> DataFrame:
-    """Per card: mean of C1, C13, C14 and the mean over the M flags of their card means."""
-    m_cols = [c for c in df.columns if re.fullmatch(r"M\d+", c)]
-    means = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
-        *[(F.avg(c) if c in df.columns else F.max(F.lit(0.0))).alias(f"{c.lower()}_mean")
-          for c in ("C1", "C13", "C14")],
-        *[F.avg(c).alias(f"_m_{c}") for c in m_cols],
-    )
-    if m_cols:
-        total = sum((F.coalesce(F.col(f"_m_{c}"), F.lit(0.0)) for c in m_cols), F.lit(0.0))
-        seen = sum((F.col(f"_m_{c}").isNotNull().cast("int") for c in m_cols), F.lit(0))
-        flag = F.when(seen > 0, total / seen)
+def family_means(columns) -> list:
+    """Aggregates: means of C1, C13, C14, and the mean over the M flags of their means."""
+    m = [F.avg(c) for c in columns if re.fullmatch(r"M\d+", c)]
+    if m:
+        seen = sum((x.isNotNull().cast("int") for x in m), F.lit(0))
+        flag = F.when(seen > 0, sum((F.coalesce(x, F.lit(0.0)) for x in m), F.lit(0.0)) / seen)
     else:
-        flag = F.lit(0.0)
-    return means.withColumn("m_flag_mean", flag).drop(*[f"_m_{c}" for c in m_cols])
+        flag = F.max(F.lit(0.0))
+    c = [(F.avg(n) if n in columns else F.max(F.lit(0.0))).alias(f"{n.lower()}_mean") for n in ("C1", "C13", "C14")]
+    return [*c, flag.alias("m_flag_mean")]
 
 
-def bin_risk(df: DataFrame, col: str, n_bins: int = 10, target: str = TARGET):
+def bin_risk(df: DataFrame, col: str, n_bins: int = 10, target: str = TARGET, **kw):
     """Target rate per quantile bin: (edges, rates); at most ``n_bins`` numbers each."""
     if col not in df.columns:
         return None
-    edges = quantile_list(df, col, [i / n_bins for i in range(n_bins + 1)])
+    edges = quantile_list(df, col, [i / n_bins for i in range(n_bins + 1)], **kw)
     if edges is None:
         return None
     edges = sorted(set(edges))
@@ -231,17 +224,13 @@ def device_pairs(df: DataFrame) -> DataFrame:
 
 
 def card_table(x: DataFrame, **kw) -> DataFrame:
-    div = distinct_per(x, "_card", {
-        "unique_addr": F.col("_addr"), "unique_emails": F.col("_email"),
-        "unique_devices": F.col("_device"),
-        "unique_products": F.col(PRODUCT) if PRODUCT in x.columns else F.lit(None).cast("string"),
-    })
+    values = {"unique_addr": F.col("_addr"), "unique_emails": F.col("_email"), "unique_devices": F.col("_device")}
+    if PRODUCT in x.columns:
+        values["unique_products"] = F.col(PRODUCT)
+    div = distinct_per(x, "_card", values)
     if PRODUCT not in x.columns:
         div = div.withColumn("unique_products", F.lit(0))
-    return (
-        entity_stats(x, "_card", **kw).join(div, "key", "left")
-        .join(activity(x, "_card"), "key", "left").join(card_family_means(x, "_card"), "key", "left")
-    )
+    return entity_stats(x, "_card", extra=[*activity(), *family_means(x.columns)], **kw).join(div, "key", "left")
 
 
 def email_table(x: DataFrame, **kw) -> DataFrame:
@@ -265,18 +254,20 @@ def fit_entity(df: DataFrame, fit_filter=None, *, max_group: int = MIN_ROWS) ->
     v_cols = [c for c in df.columns if re.fullmatch(r"V\d+", c)]
     a = F.coalesce(F.col(AMOUNT).cast("double"), F.lit(0.0))
     g = x.agg(
-        F.avg(a).alias("am"), F.stddev_pop(a).alias("asd"), F.avg(F.col(TARGET).cast("double")).alias("fr"),
+        F.count(F.lit(1)).alias("n"), F.avg(a).alias("am"), F.stddev_pop(a).alias("asd"), F.avg(F.col(TARGET).cast("double")).alias("fr"),
         *[F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"m_{c}") for c in v_cols],
         *[F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"s_{c}") for c in v_cols],
     ).first()
+    n = int(g["n"])
+    kw = {"max_group": max_group, "rows": n}
+    tables = cut_all({
+        "cards": card_table(x, **kw), "emails": email_table(x, **kw), "addresses": shared_table(x, "_addr", **kw),
+        "devices": shared_table(x, "_device", **kw), "card_devices": device_pairs(x),
+    })
     return EntityModel(
         amount_mean=float(g["am"] or 0.0), amount_std=float(g["asd"] or 0.0) or 1.0,
         fraud_rate=float(g["fr"] or 0.0),
-        id_01=bin_risk(df, "id_01"), id_02=bin_risk(df, "id_02"),
+        id_01=bin_risk(df, "id_01", **kw), id_02=bin_risk(df, "id_02", **kw),
         v_cols=v_cols, v_mean=[float(g[f"m_{c}"]) for c in v_cols],
-        v_std=[float(g[f"s_{c}"]) or 1.0 for c in v_cols],
-        cards=card_table(x, max_group=max_group), emails=email_table(x, max_group=max_group),
-        addresses=shared_table(x, "_addr", max_group=max_group),
-        devices=shared_table(x, "_device", max_group=max_group),
-        card_devices=device_pairs(x),
+        v_std=[float(g[f"s_{c}"]) or 1.0 for c in v_cols], **tables,
     )

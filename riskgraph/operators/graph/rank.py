@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from riskgraph.operators.graph.build import node_set, undirected
 from riskgraph.plans.lineage import cut, release
 
+STRIDE = 3  # rounds between two written tables
+
 
 def pagerank(edges: DataFrame, nodes: DataFrame | None = None, *, alpha: float = 0.85,
              max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
@@ -15,7 +17,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, *, alpha: float =
 
     A round is one join of the edge table with the ranks and one sum per node, combined before the
     shuffle, so a hub's in-edges never meet in one task.  Nodes without edges spread their rank
-    evenly.  Every round is written, so a lost executor costs at most one round.
+    evenly.  The ranks are written every few rounds with the values of each round, so the stop rule
+    is applied to every round and a lost executor costs only those since the last table.
     """
     both = undirected(edges.select("src", "dst")).distinct()
     deg = both.groupBy(F.col("src").alias("_s")).agg(F.count(F.lit(1)).alias("_deg"))
@@ -26,21 +29,23 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, *, alpha: float =
     n = ids.count()
     if n == 0:
         return ids.select("id", F.lit(0.0).alias("rank"))
-    cur = ids.select("id", "alone", F.lit(1.0 / n).alias("rank"))
     lonely = ids.filter("alone").limit(1).count() > 0
+    cur, done = ids.select("id", "alone", F.lit(1.0 / n).alias("r0")), 0
+    stride = 1 if lonely else STRIDE
     old = None
-    for _ in range(max_iter):
-        spare = (cur.filter("alone").agg(F.sum("rank")).first()[0] or 0.0) if lonely else 0.0
-        part = links.join(cur.select(F.col("id").alias("_i"), "rank"), links["src"] == F.col("_i")).groupBy(
-            F.col("dst").alias("_d")).agg(F.sum(F.col("rank") * F.col("w")).alias("_in"))
-        nxt = cur.join(part, cur["id"] == part["_d"], "left").select(
-            "id", "alone",
-            (F.lit((1 - alpha) / n) + alpha * (F.coalesce("_in", F.lit(0.0)) + spare / n)).alias("rank"),
-            F.col("rank").alias("before"))
-        nxt = cut(nxt, "rank")
-        err = nxt.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
+    while True:
+        steps = min(stride, max_iter - done)
+        spare = (cur.filter("alone").agg(F.sum("r0")).first()[0] or 0.0) if lonely else 0.0
+        for i in range(steps):
+            part = links.join(cur.select(F.col("id").alias("_i"), F.col(f"r{i}").alias("_r")), F.col("src") == F.col("_i")).groupBy(
+                F.col("dst").alias("_d")).agg(F.sum(F.col("_r") * F.col("w")).alias("_in"))
+            cur = cur.join(part, F.col("id") == F.col("_d"), "left").withColumn(
+                f"r{i + 1}", F.lit((1 - alpha) / n) + alpha * (F.coalesce("_in", F.lit(0.0)) + spare / n)).drop("_d", "_in")
+        nxt = cut(cur, "rank")
+        errs = nxt.agg(*[F.sum(F.abs(F.col(f"r{i + 1}") - F.col(f"r{i}"))) for i in range(steps)]).first()
         release(old)
-        old, cur = nxt, nxt.drop("before")
-        if err < n * tol:
-            break
-    return cur.select("id", "rank")
+        old, done = nxt, done + steps
+        stop = next((i + 1 for i in range(steps) if errs[i] < n * tol), None)
+        if stop is not None or done >= max_iter:
+            return nxt.select("id", F.col(f"r{stop or steps}").alias("rank"))
+        cur = nxt.select("id", "alone", F.col(f"r{steps}").alias("r0"))

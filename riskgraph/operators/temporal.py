@@ -60,6 +60,7 @@ def card_causal(
         # Only arrivals carry the row; expiries are narrow.
         F.when(F.col("_e.kind") == 0, F.col("_row")).alias("_row"),
         (F.lit(0) if hot is None else piece_of(F.col("_edges"), F.col("_e.t"))).alias(PIECE),
+        F.col("_edges").isNotNull().alias("_hot"),
     )
     order = Window.partitionBy("_key", PIECE).orderBy("_t", "_kind", "_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -131,13 +132,13 @@ def _add_card_carry(s, df, hot, key, time, ident, amount, windows):
     )
     # Pieces that receive only expiries need a carry row as well.
     grid = hot.table.select(
-        F.col(hot.keys[0]).alias("_key"),
-        F.explode(F.sequence(F.lit(0), F.size("_edges"))).alias(PIECE),
+        F.col(hot.keys[0]).alias("_gk"),
+        F.explode(F.sequence(F.lit(0), F.size("_edges"))).alias("_gp"),
     )
-    g = group_window(["_key"]).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    per = grid.join(per, (grid["_key"].eqNullSafe(per["_key"])) & (grid[PIECE] == per[PIECE]), "left")
+    g = group_window(["_gk"]).orderBy("_gp").rowsBetween(Window.unboundedPreceding, -1)
+    per = grid.join(per, F.col("_gk").eqNullSafe(F.col("_key")) & (F.col("_gp") == F.col(PIECE)), "left")
     carry = per.select(
-        grid["_key"], grid[PIECE],
+        F.col("_gk").alias("_key"), F.col("_gp").alias(PIECE),
         F.sum("_n").over(g).alias("_c_n"), F.sum("_a").over(g).alias("_c_a"),
         F.min("_f").over(g).alias("_c_f"),
         F.last("_l", ignorenulls=True).over(g).alias("_c_l"),
@@ -171,7 +172,7 @@ def _add_card_carry(s, df, hot, key, time, ident, amount, windows):
 
 def _add_gap_carry(s):
     """Second carry of hot cards: squared gaps and the last acceleration of earlier pieces."""
-    hot_rows = s.filter((F.col("_kind") == 0) & F.col("_edges").isNotNull())
+    hot_rows = s.filter((F.col("_kind") == 0) & F.col("_hot"))
     per = hot_rows.groupBy("_key", PIECE).agg(
         F.sum(F.col("gap").cast("double") * F.col("gap")).alias("_g"),
         F.max(F.struct("_time", "_id", "acceleration")).alias("_l"),

@@ -90,7 +90,7 @@ def with_edges(df: DataFrame, hot: HotGroups | None, how: str = "left") -> DataF
     t = F.broadcast(hot.table.select(*[F.col(k).alias(f"_h_{k}") for k in hot.keys], "_edges"))
     cond = F.lit(True)
     for k in hot.keys:
-        cond = cond & df[k].eqNullSafe(F.col(f"_h_{k}"))
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
     return df.join(t, cond, how).drop(*[f"_h_{k}" for k in hot.keys])
 
 
@@ -116,5 +116,5 @@ def attach(df: DataFrame, pieces: DataFrame, keys) -> DataFrame:
     )
     cond = F.lit(True)
     for k in names:
-        cond = cond & df[k].eqNullSafe(F.col(f"_p_{k}"))
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_p_{k}"))
     return df.join(F.broadcast(p), cond, "left").drop(*[f"_p_{k}" for k in names])

@@ -11,7 +11,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
@@ -48,6 +50,13 @@ def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     return out
 
 
+def cut_all(frames: dict[str, DataFrame], threads: int = 4) -> dict[str, DataFrame]:
+    """Cut several independent frames; their jobs run side by side and share the cluster."""
+    with ThreadPoolExecutor(threads) as pool:
+        jobs = {n: pool.submit(inheritable_thread_target(f.sparkSession)(cut), f, n) for n, f in frames.items()}
+        return {n: j.result() for n, j in jobs.items()}
+
+
 def release(df: DataFrame | None) -> None:
     """Delete the table behind a frame made by :func:`cut`, once nothing reads it any more."""
     path = getattr(df, "_cut_path", None)
