@@ -181,6 +181,8 @@ def category_codes(df: DataFrame, cols, *, time: str = TIME, ident: str = ID,
     All columns in one pass: the pairs combine before the shuffle, so only distinct values of a
     task travel; numbering a very large vocabulary is split along first-seen time.
     """
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string, code int")
     pairs = F.array(*[F.struct(
         F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value"))
         for c in cols])

@@ -149,12 +149,12 @@ def _js(values: DataFrame, features, n_bins: int) -> DataFrame:
 
 
 def _ks(values: DataFrame) -> DataFrame:
-    gap = F.abs(F.col("cr") / F.col("cr_total") - F.col("cc") / F.col("cc_total"))
+    gap = F.abs(F.try_divide("cr", "cr_total") - F.try_divide("cc", "cc_total"))
     out = values.groupBy("feature").agg(
         F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"),
         F.first("cr_total").cast("double").alias("_n"), F.first("cc_total").cast("double").alias("_m"))
-    en = F.sqrt(F.col("_n") * F.col("_m") / (F.col("_n") + F.col("_m")))
-    lam = (en + 0.12 + 0.11 / en) * F.col("ks")
+    en = F.sqrt(F.col("_n") * F.col("_m") / F.greatest(F.col("_n") + F.col("_m"), F.lit(1.0)))
+    lam = (en + 0.12 + F.try_divide(F.lit(0.11), en)) * F.col("ks")
     tail = sum((F.lit(2.0 * (-1) ** (j - 1)) * F.exp(-2.0 * j * j * lam * lam) for j in range(1, 31)),
                F.lit(0.0))
     p = F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
@@ -255,8 +255,8 @@ def drift_report(reference: DataFrame, current: DataFrame, *, numeric=None, cate
         values = value_counts(reference, current, numeric, min_rows=max_group)
         base = values.groupBy("feature").agg(
             F.first("cr_total").alias("n_reference"), F.first("cc_total").alias("n_current"),
-            (F.sum(F.col("v") * F.col("c")) / F.first("cc_total")
-             - F.sum(F.col("v") * F.col("r")) / F.first("cr_total")).alias("mean_shift"))
+            (F.try_divide(F.sum(F.col("v") * F.col("c")), F.first("cc_total"))
+             - F.try_divide(F.sum(F.col("v") * F.col("r")), F.first("cr_total"))).alias("mean_shift"))
         parts.append(base.join(_psi(values, numeric, n_bins), "feature", "left").join(_ks(values), "feature", "left")
                      .join(_js(values, numeric, js_bins), "feature", "left").withColumn("kind", F.lit("numeric")))
     if categorical:

@@ -78,9 +78,17 @@ def activity(*, time: str = TIME) -> list:
     return [days.alias("days_active"), (F.count(F.lit(1)) / F.greatest(days, F.lit(1.0))).alias("txn_freq")]
 
 
-def family_means(columns) -> list:
+def _flag_value(name: str, kind: str):
+    """Numeric value of an M flag; T and F as text count as 1 and 0."""
+    if kind != "string":
+        return F.col(name)
+    return F.when(F.col(name) == "T", 1.0).when(F.col(name) == "F", 0.0).otherwise(F.col(name).try_cast("double"))
+
+
+def family_means(df: DataFrame) -> list:
     """Aggregates: means of C1, C13, C14, and the mean over the M flags of their means."""
-    m = [F.avg(c) for c in columns if re.fullmatch(r"M\d+", c)]
+    columns = df.columns
+    m = [F.avg(_flag_value(c, kind)) for c, kind in df.dtypes if re.fullmatch(r"M\d+", c)]
     if m:
         seen = sum((x.isNotNull().cast("int") for x in m), F.lit(0))
         flag = F.when(seen > 0, sum((F.coalesce(x, F.lit(0.0)) for x in m), F.lit(0.0)) / seen)
@@ -230,7 +238,7 @@ def card_table(x: DataFrame, **kw) -> DataFrame:
     div = distinct_per(x, "_card", values)
     if PRODUCT not in x.columns:
         div = div.withColumn("unique_products", F.lit(0))
-    return entity_stats(x, "_card", extra=[*activity(), *family_means(x.columns)], **kw).join(div, "key", "left")
+    return entity_stats(x, "_card", extra=[*activity(), *family_means(x)], **kw).join(div, "key", "left")
 
 
 def email_table(x: DataFrame, **kw) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.operators.graph.build import undirected
-from riskgraph.plans.lineage import cut
+from riskgraph.plans.lineage import cut, release
 from riskgraph.plans.scan import row_index
 
 
@@ -71,25 +71,29 @@ def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     n = ids.count()
     start = ids.select("id", F.floor(F.col("i") / 64).alias("word"),
                        F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("i") % 64).cast("int")).alias("bits"))
-    front = cut(start, "front")
-    seen, depth, sums = front, 0, None
-    while True:
+    zero = F.lit(0).cast("long")
+    # One row per (node, word): all sources seen, those new in this round, their count and distances.
+    state = cut(start.select("id", "word", F.col("bits").alias("seen"), F.col("bits").alias("fresh"),
+                             zero.alias("r"), zero.alias("d")), "reach")
+    depth, grown = 0, 1
+    while grown:
         depth += 1
-        reach = front.join(links, front["id"] == links["src"]).groupBy(F.col("dst").alias("id"), "word").agg(
-            F.bit_or("bits").alias("_b"))
-        fresh = reach.join(seen.withColumnRenamed("bits", "_seen"), ["id", "word"], "left").select(
-            "id", "word", F.col("_b").bitwiseAND(F.bitwise_not(F.coalesce("_seen", F.lit(0).cast("long")))).alias("bits"))
-        front = cut(fresh.filter("bits <> 0"), "front")
-        if front.limit(1).count() == 0:
-            break
-        got = front.groupBy("id").agg(F.sum(F.bit_count("bits").cast("long")).alias("r"))
-        got = got.select("id", "r", (F.col("r") * depth).alias("d"))
-        sums = got if sums is None else sums.unionByName(got)
-        seen = cut(seen.unionByName(front).groupBy("id", "word").agg(F.bit_or("bits").alias("bits")), "seen")
-    if sums is None:
-        return ids.select("id", F.lit(0.0).alias("closeness"))
-    t = sums.groupBy(F.col("id").alias("_i")).agg(F.sum("r").alias("_r"), F.sum("d").alias("_d"))
-    c = F.col("_r") / F.col("_d") * F.col("_r") / F.lit(max(n - 1, 1))
+        active = state.filter("fresh <> 0").select("id", "word", "fresh")
+        near = active.join(links, F.col("id") == F.col("src")).groupBy(
+            F.col("dst").alias("_i"), F.col("word").alias("_w")).agg(F.bit_or("fresh").alias("_b"))
+        j = state.join(near, (F.col("id") == F.col("_i")) & (F.col("word") == F.col("_w")), "full_outer")
+        seen = F.coalesce("seen", zero)
+        new = F.coalesce("_b", zero).bitwiseAND(F.bitwise_not(seen))
+        count = F.bit_count(new).cast("long")
+        nxt = cut(j.select(
+            F.coalesce("id", "_i").alias("id"), F.coalesce("word", "_w").alias("word"),
+            seen.bitwiseOR(F.coalesce("_b", zero)).alias("seen"), new.alias("fresh"),
+            (F.coalesce("r", zero) + count).alias("r"), (F.coalesce("d", zero) + depth * count).alias("d")), "reach")
+        release(state)
+        state = nxt
+        grown = state.agg(F.count_if(F.col("fresh") != 0)).first()[0]
+    t = state.groupBy(F.col("id").alias("_i")).agg(F.sum("r").alias("_r"), F.sum("d").alias("_d"))
+    c = F.when(F.col("_d") > 0, F.col("_r") / F.col("_d") * F.col("_r") / F.lit(max(n - 1, 1)))
     return ids.join(t, F.col("id") == F.col("_i"), "left").select("id", F.coalesce(c, F.lit(0.0)).alias("closeness"))
 
 

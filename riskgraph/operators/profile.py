@@ -46,7 +46,7 @@ def dataset_profile(df: DataFrame, *, target: str = TARGET, amount: str = AMOUNT
         F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
         *[F.lit(len(fam[f])).alias(f"n_{f}") for f in ("v", "d", "c", "m")],
         F.avg(F.col(target).cast("double")).alias("fraud_rate"), F.avg(amount).alias("mean_amt"),
-        (F.sum(x) / (F.count(F.lit(1)) * len(df.columns))).alias("missing_share"), F.lit(1).alias("_one"))
+        (F.sum(x) / F.greatest(F.count(F.lit(1)) * len(df.columns), F.lit(1))).alias("missing_share"), F.lit(1).alias("_one"))
     q = quantiles(df, [], amount, [0.5, 0.99]).select(
         F.col("q")[0].alias("median_amt"), F.col("q")[1].alias("p99_amt"), F.lit(1).alias("_one"))
     return base.join(q, "_one").drop("_one")

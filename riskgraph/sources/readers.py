@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from riskgraph.schema import CARD, ID, TIME
 
 _FLOATS = re.compile(r"([VDC]\d+|TransactionAmt|dist[12]|addr[12]|card[1235])")
-_CORRUPT = "_corrupt"
 
 
 def csv_schema(header, text_ids: bool = False) -> T.StructType:
@@ -48,12 +47,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
 
 
 def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, sep: str = ","):
-    """Rows that match ``schema`` and the text of those that do not."""
-    full = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
-    df = spark.read.options(header="true", sep=sep, mode="PERMISSIVE",
-                            columnNameOfCorruptRecord=_CORRUPT).schema(full).csv(path)
-    return df.filter(F.col(_CORRUPT).isNull()).drop(_CORRUPT), df.filter(
-        F.col(_CORRUPT).isNotNull()).select(_CORRUPT)
+    """Rows that match ``schema``, and as JSON text those with a value that does not."""
+    text = spark.read.options(header="true", sep=sep).schema(
+        T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(path)
+    ok = F.lit(True)
+    for f in schema.fields:
+        ok = ok & (F.col(f"`{f.name}`").isNull() | F.col(f"`{f.name}`").try_cast(f.dataType).isNotNull())
+    good = text.filter(ok).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return good, text.filter(~ok).select(F.to_json(F.struct(*text.columns)).alias("rejected"))
 
 
 def load_frame(spark: SparkSession, path: str) -> DataFrame:
