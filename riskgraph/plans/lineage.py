@@ -17,6 +17,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,7 +25,7 @@ def shared_root(spark: SparkSession) -> str:
 
     Only a local session without one gets a folder of its own; a cluster must name it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
@@ -45,6 +46,7 @@ def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -60,8 +62,18 @@ def cut_all(frames: dict[str, DataFrame], threads: int = 4) -> dict[str, DataFra
 def release(df: DataFrame | None) -> None:
     """Delete the table behind a frame made by :func:`cut`, once nothing reads it any more."""
     path = getattr(df, "_cut_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table this process has cut; call it when no result is read any more."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)

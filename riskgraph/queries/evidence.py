@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskgraph.functions import scalar as S
+from riskgraph.functions.quantiles import quantiles
 from riskgraph.operators import evidence as V
 from riskgraph.operators import rules as R
 from riskgraph.plans.asof import asof_join
@@ -274,12 +275,12 @@ hr AS (SELECT ("TransactionDT" // 3600) * 3600 AS ts, avg("isFraud") AS producti
 
 
 def hourly_metrics(spark, sf_dir):
-    tx = transactions(spark, sf_dir)
-    return tx.groupBy((F.floor(F.col("TransactionDT") / 3600) * 3600).alias("ts")).agg(
+    tx = transactions(spark, sf_dir).withColumn("ts", F.floor(F.col("TransactionDT") / 3600) * 3600)
+    p95 = quantiles(tx, ["ts"], "TransactionAmt", [0.95]).select("ts", (F.col("q")[0] / 1000).alias("latency_p95"))
+    return tx.groupBy("ts").agg(
         F.avg("isFraud").alias("production_fraud_rate"),
-        (F.percentile("TransactionAmt", 0.95) / 1000).alias("latency_p95"),
         (F.count_if(F.col("ProductCD") == "error") / F.count(F.lit(1))).alias("error_rate"),
-        F.avg((F.col("fraud_score") >= 0.4).cast("int")).alias("shadow_agreement"))
+        F.avg((F.col("fraud_score") >= 0.4).cast("int")).alias("shadow_agreement")).join(p95, "ts")
 
 
 @query("alert_rules", f"""WITH {_HOURLY}

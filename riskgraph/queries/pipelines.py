@@ -173,7 +173,7 @@ def request_validation(spark, sf_dir):
 def _tx_stream(spark, sf_dir):
     """Events as a stream of transactions, joined with the static address tables."""
     ev = table(spark, sf_dir, "events")
-    s = A.file_source(spark, f"{sf_dir}/events.parquet*", ev.schema)
+    s = A.file_source(spark, f"{sf_dir}/events.parquet*", ev.schema, files_per_trigger=64)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     return (s.join(c, s.user_id == c.c_custkey, "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")

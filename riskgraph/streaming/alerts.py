@@ -22,10 +22,15 @@ ALERT = T.StructType([
 CORRUPT = "_corrupt"
 
 
-def kafka_source(spark: SparkSession, servers: str, topic: str, *, starting: str = "latest") -> DataFrame:
-    """``key, value`` as text from a topic; needs the Kafka package on the class path."""
+def kafka_source(spark: SparkSession, servers: str, topic: str, *, starting: str = "latest",
+                 max_offsets: int = 5_000_000) -> DataFrame:
+    """``key, value`` as text from a topic; needs the Kafka package on the class path.
+
+    ``max_offsets`` bounds a micro-batch, and with it the rows of any one card in it.
+    """
     raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-           .option("subscribe", topic).option("startingOffsets", starting).load())
+           .option("subscribe", topic).option("startingOffsets", starting)
+           .option("maxOffsetsPerTrigger", max_offsets).load())
     return raw.select(F.col("key").cast("string"), F.col("value").cast("string"))
 
 

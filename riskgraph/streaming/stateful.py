@@ -53,7 +53,10 @@ def _advance(key, batches, state: GroupState):
 def card_features(stream: DataFrame) -> DataFrame:
     """Per-card rolling features on a stream of ``TransactionID, TransactionDT, TransactionAmt, card1``.
 
-    Equal to the batch windows when a card's rows arrive in time order.
+    Equal to the batch windows when a card's rows arrive in time order.  A card's rows of one
+    micro-batch are held together, so the source must bound the batch (``maxOffsetsPerTrigger``,
+    ``maxFilesPerTrigger``); between batches only 24 hours of times and a few totals are kept.
+    Large backfills belong to the batch operator, which splits hot cards.
     """
     x = stream.select("TransactionID", "TransactionDT", "TransactionAmt", "card1")
     return x.groupBy("card1").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
