@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from riskgraph.llm.decontaminate import op5_decontaminate
 from riskgraph.llm.packing import op4_packing
+from riskgraph.llm.pii import op3_pii
 from riskgraph.llm.quality_rules import op8_quality_rules
 from riskgraph.llm.secret_scan import op1_secret_scan
 from riskgraph.llm.simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op4_packing, op5_decontaminate, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op4_packing, op5_decontaminate, op8_quality_rules)}
 ORACLES: dict[str, str] = {}
