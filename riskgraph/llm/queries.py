@@ -5,9 +5,13 @@ from __future__ import annotations
 from riskgraph.llm.decontaminate import op5_decontaminate
 from riskgraph.llm.packing import op4_packing
 from riskgraph.llm.pii import op3_pii
+from riskgraph.llm.quality_classifier import op7_quality_classifier
 from riskgraph.llm.quality_rules import op8_quality_rules
 from riskgraph.llm.secret_scan import op1_secret_scan
 from riskgraph.llm.simhash import op2_simhash
+from riskgraph.llm.toxicity import op6_toxicity
+from riskgraph.llm.url_filter import op10_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op4_packing, op5_decontaminate, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op4_packing, op5_decontaminate,
+                              op6_toxicity, op7_quality_classifier, op8_quality_rules, op10_url_filter)}
 ORACLES: dict[str, str] = {}
