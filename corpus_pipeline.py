@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import decontaminate, quality_rules
+from riskgraph.llm import decontaminate, packing, pii, quality_rules, simhash
 from riskgraph.plans.lineage import cut
 
 STAGES = [
     ("quality rules", quality_rules.stage),
+    ("near duplicates", simhash.stage),
     ("benchmark decontamination", decontaminate.stage),
+    ("personal data", pii.stage),
+    ("packing", packing.stage),
 ]
 
 #: Tokenising and fingerprints cannot be said in SQL; the tests compare with plain loops.
