@@ -82,7 +82,7 @@ def _join(kind: str, parts):
 
 def _trigrams(strings):
     """Query for "contains one of ``strings``"."""
-    return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in strings])
+    return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
 
 
 @dataclass
