@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from riskgraph.functions.quantiles import quantile_list, quantiles
 from riskgraph.plans.hot import MIN_ROWS
+from riskgraph.plans.lineage import cut
 from riskgraph.plans.scan import running_sums
 from riskgraph.schema import AMOUNT, DEVICE, EMAILS, ID, PRODUCT, TARGET, TIME
 
@@ -212,7 +213,8 @@ def fit_clean(df: DataFrame, config: CleanConfig | None = None, *, target: str =
     cats = [*fam["m"], *fam["id_categorical"], *fam["email"], *fam["other_categorical"]]
     model = CleanModel(cfg, dropped, fills, cats)
     filled = model.fill(df)
-    model.codes = category_codes(filled, cats, time=time, min_rows=min_rows)
+    # Written once: every encoded column looks it up, and none goes back to the rows.
+    model.codes = cut(category_codes(filled, cats, time=time, min_rows=min_rows), "codes")
     if AMOUNT in df.columns and 0.5 < cfg.clip_quantile < 1.0:
         model.clip = quantile_list(filled, AMOUNT, [cfg.clip_quantile], max_group=min_rows)[0]
     ready = model.amounts(filled)

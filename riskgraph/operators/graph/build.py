@@ -259,7 +259,7 @@ class GraphModel:
 
 def fit_graph(df: DataFrame, *, n_clusters: int = 20, n_bins: int = 10, seed: int = 42,
               min_rows: int = MIN_ROWS) -> GraphModel:
-    """Learn bins and merchant clusters, then number the nodes of every type."""
+    """Learn bins and ``n_clusters`` merchants (fewer if the rows differ less), then number all nodes."""
     import re
 
     v = [c for c in df.columns if re.fullmatch(r"V\d+", c)]
@@ -268,7 +268,7 @@ def fit_graph(df: DataFrame, *, n_clusters: int = 20, n_bins: int = 10, seed: in
         cols = v[:10]
     centers: list[list[float]] = []
     if len(cols) >= 2:
-        k = min(n_clusters, max(2, df.count() // 1000))
+        k = n_clusters
         x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
         vec = VectorAssembler(inputCols=cols, outputCol="features").transform(x)
         km = KMeans(k=k, seed=seed, maxIter=20, featuresCol="features").fit(vec)

@@ -14,17 +14,17 @@ def _signature(e: DataFrame):
     return tuple(e.agg(F.count(F.lit(1)), F.sum(h)).first())
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, *, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``id, component``: the smallest id of each node's component.
 
     Both steps need only the minimum over a node's neighbours, an aggregate that combines before
     the shuffle; neighbour lists are never gathered.  The rounds are logarithmic in the number of
-    nodes also on long chains.
+    nodes also on long chains, and go on until nothing changes.
     """
     cur = cut(edges.select("src", "dst").filter("src <> dst").select(
         F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = undirected(cur)
         low = both.groupBy(F.col("src").alias("_u")).agg(F.min("dst").alias("_m")).select(
             "_u", F.least("_u", "_m").alias("_m"))

@@ -18,7 +18,6 @@ from riskgraph.plans.lineage import cut
 from riskgraph.schema import GRAPH_FEATURES, ID, TARGET
 
 TX_DEGREE = 6.0  # fixed: a transaction counts six entities, one of them the merchant
-RING_CLIQUE_NODES = 2000
 
 
 @dataclass
@@ -93,8 +92,11 @@ def entity_rates(df: DataFrame, keys: DataFrame, training=None, *, target: str =
 
 
 def fit_graph_features(df: DataFrame, training=None, *, betweenness_k: int | None = 200, hub_cap: int = 500,
-                       ring_mode: str | None = None) -> GraphFeatureModel:
-    """Learn entity metrics; ``training`` (a condition) restricts only the target rates."""
+                       ring_mode: str = "triangles") -> GraphFeatureModel:
+    """Learn entity metrics; ``training`` (a condition) restricts only the target rates.
+
+    Rings are counted as triangles at every size; ``ring_mode="cliques"`` is for small graphs only.
+    """
     edges01 = id01_bucket_edges(df)
     keys = cut(homogeneous_keys(df, edges01), "keys")
     rates, overall = entity_rates(df, keys, training)
@@ -105,8 +107,6 @@ def fit_graph_features(df: DataFrame, training=None, *, betweenness_k: int | Non
 
     cards = cut(keys.select(F.col("card").alias("id")).distinct(), "cards")
     proj = cut(card_projection(keys, hub_cap=hub_cap).select(F.col("card_a").alias("src"), F.col("card_b").alias("dst")), "projection")
-    if ring_mode is None:
-        ring_mode = "cliques" if cards.count() < RING_CLIQUE_NODES else "triangles"
     metrics = betweenness(proj, cards, k=betweenness_k).join(closeness(proj, cards), "id").join(
         rings(proj, cards, ring_mode), "id").join(component_of_cards(keys), "id", "left")
     return GraphFeatureModel(edges01, overall, ent, cut(metrics.withColumnRenamed("id", "key"), "cardmetrics"))

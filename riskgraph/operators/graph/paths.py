@@ -97,7 +97,7 @@ def closeness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ids.join(t, F.col("id") == F.col("_i"), "left").select("id", F.coalesce(c, F.lit(0.0)).alias("closeness"))
 
 
-def closeness_sketched(edges: DataFrame, nodes: DataFrame, *, lg_k: int = 12, max_depth: int = 64) -> DataFrame:
+def closeness_sketched(edges: DataFrame, nodes: DataFrame, *, lg_k: int = 12) -> DataFrame:
     """Closeness from distinct-count sketches instead of bit sets, for very large projections.
 
     A node's sketch after t rounds holds the nodes within t hops; the growth between rounds is the
@@ -108,7 +108,9 @@ def closeness_sketched(edges: DataFrame, nodes: DataFrame, *, lg_k: int = 12, ma
     n = ids.count()
     cur = cut(ids.groupBy("id").agg(F.hll_sketch_agg("id", lg_k).alias("sk")).select(
         "id", "sk", F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("dist")), "hll")
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         near = links.join(cur.select(F.col("id").alias("_n"), "sk"), F.col("dst") == F.col("_n")).select(
             F.col("src").alias("id"), "sk").unionByName(cur.select("id", "sk"))
         m = near.groupBy("id").agg(F.hll_union_agg("sk").alias("sk2"))

@@ -15,6 +15,9 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, *, alpha: float =
              max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
     """``id, rank``; stops once the summed change is below ``n * tol``.
 
+    Ranks that have not settled after ``max_iter`` rounds are an error; ``tol=0`` asks for exactly
+    ``max_iter`` rounds.
+
     A round is one join of the edge table with the ranks and one sum per node, combined before the
     shuffle, so a hub's in-edges never meet in one task.  Nodes without edges spread their rank
     evenly.  The ranks are written every few rounds with the values of each round, so the stop rule
@@ -46,6 +49,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, *, alpha: float =
         release(old)
         old, done = nxt, done + steps
         stop = next((i + 1 for i in range(steps) if errs[i] < n * tol), None)
+        if stop is None and done >= max_iter and tol > 0:
+            raise RuntimeError(f"ranks did not settle in {max_iter} rounds")
         if stop is not None or done >= max_iter:
             return nxt.select("id", F.col(f"r{stop or steps}").alias("rank"))
         cur = nxt.select("id", "alone", F.col(f"r{steps}").alias("r0"))

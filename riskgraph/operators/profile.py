@@ -94,6 +94,8 @@ def score_histogram(df: DataFrame, score: str, n: int = 20) -> DataFrame:
 def histogram(df: DataFrame, value, n: int, by: str) -> DataFrame:
     """Equal-width histogram of ``value`` per class of ``by``, last bin closed."""
     lo, hi = df.agg(F.min(value), F.max(value)).first()
+    if lo is None:
+        lo = hi = 0.0
     return df.filter(value.isNotNull()).groupBy(by, S.equal_bin(value, float(lo), float(hi), n).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
 
@@ -110,11 +112,10 @@ def nearest_rank(df: DataFrame, value: str, ident: str, probs=(0.5, 0.95, 0.99),
                  min_rows: int = MIN_ROWS) -> DataFrame:
     """``p, value`` at index floor(p * n) of the sorted values."""
     n = df.filter(F.col(value).isNotNull()).count()
-    want = {int(min(n - 1, p * n // 1)): p for p in probs}
+    want = df.sparkSession.createDataFrame(
+        [(float(p), int(min(n - 1, p * n // 1))) for p in probs], "p double, _want long")
     r = row_index(df.filter(F.col(value).isNotNull()).select(value, ident), value, ident, "_i", min_rows=min_rows)
-    items = F.create_map(*[x for i, p in want.items() for x in (F.lit(i), F.lit(p))])
-    return r.filter(F.col("_i").isin(*want)).select(
-        items[F.col("_i").cast("int")].alias("p"), F.col(value).alias("value"))
+    return r.join(F.broadcast(want), F.col("_i") == F.col("_want")).select("p", F.col(value).alias("value"))
 
 
 def predicted_rate(df: DataFrame, score: str, threshold: float = 0.5) -> DataFrame:

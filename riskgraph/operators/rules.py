@@ -103,7 +103,8 @@ def evaluate_hold_rules(history: DataFrame, rules, *, ts: str = "ts", min_rows:
     """``rule, severity, ts, since``: every evaluation at which a rule is firing.
 
     ``history`` has one row per evaluation time (seconds).  An unbroken run of true conditions is
-    an island: it is numbered by the running count of false rows before it.
+    an island: it is numbered by the running count of false rows before it.  A rule that cannot be
+    evaluated on this history fires as a warning, as in :func:`evaluate_rules`.
     """
     known = set(history.columns)
     items = []
@@ -111,7 +112,10 @@ def evaluate_hold_rules(history: DataFrame, rules, *, ts: str = "ts", min_rows:
         try:
             history.select(F.expr(r.condition))
         except AnalysisException:
-            continue  # none of the rule's series exist in this history
+            # Never silent: a rule that cannot be read fires at every evaluation, as a warning.
+            items.append(F.struct(F.lit(r.name).alias("rule"), F.lit("warning").alias("severity"),
+                                  F.lit(0).alias("hold"), F.lit(True).alias("on")))
+            continue
         items.append(F.struct(
             F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.hold).alias("hold"),
             F.coalesce(F.expr(r.condition).cast("boolean"), F.lit(False)).alias("on")))
@@ -129,6 +133,8 @@ def absent_windows(events: DataFrame, expected: DataFrame, width: int, *, series
     """(series, window) pairs of the observed time span in which an expected series is silent."""
     b = events.select(F.col(series).alias("series"), F.floor(F.col(ts) / width).alias("w"))
     lo, hi = b.agg(F.min("w"), F.max("w")).first()
+    if lo is None:
+        return expected.select("series", F.lit(None).cast("long").alias("window_start")).limit(0)
     grid = expected.select("series", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("w"))
     return grid.join(b.distinct(), ["series", "w"], "left_anti").select(
         "series", (F.col("w") * width).alias("window_start"))

@@ -7,7 +7,8 @@ their scan per piece and add what earlier pieces of the same group contribute (a
 row per piece).
 
 Why the split table may be broadcast: a group is hot only if it has more than ``share`` of all
-rows, so there are fewer than ``1/share`` hot groups, and each has at most ``max_pieces`` edges.
+rows, and gets as many pieces as it has such shares (and one more), so all hot groups together have
+fewer than ``2 / share`` pieces, whatever the size of the input.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from riskgraph.plans.lineage import cut
 PIECE = "_piece"
 SHARE = 1.0 / 4096
 MIN_ROWS = 2_000_000
-MAX_PIECES = 1024
 _STEP = 32
 
 
@@ -43,7 +43,6 @@ def find_hot(
     *,
     min_rows: int = MIN_ROWS,
     share: float = SHARE,
-    max_pieces: int = MAX_PIECES,
 ) -> HotGroups | None:
     """Hot groups of ``df`` by ``keys`` with their edges on ``order``; ``None`` if there are none.
 
@@ -58,16 +57,21 @@ def find_hot(
     limit = max(min_rows, int(total * share))
     if top <= limit:
         return None
-    hot = counts.filter(F.col("_n") > limit).select(*keys)
-    pieces = int(min(max_pieces, ceil(top / limit) + 1))
+    hot = counts.filter(F.col("_n") > limit).select(*keys, "_n")
+    pieces = ceil(top / limit) + 1
     fractions = [i / pieces for i in range(1, pieces)]
     if keys:
-        hot_rows = df.join(F.broadcast(hot), [df[k].eqNullSafe(hot[k]) for k in keys], "left_semi")
+        few = F.broadcast(hot.drop("_n"))
+        hot_rows = df.join(few, [df[k].eqNullSafe(few[k]) for k in keys], "left_semi")
     else:
         hot_rows = df
     edges = hot_rows.groupBy(*[F.col(k) for k in keys]).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(order, fractions, 10000))).alias("_edges")
+        F.percentile_approx(order, fractions, 10000).alias("_edges"), F.count(F.lit(1)).alias("_n")
     )
+    # The sketch has the edges of the largest group; others keep every step-th of them.
+    step = F.greatest(F.floor(F.lit(pieces) / F.ceil(F.col("_n") / limit + 1)), F.lit(1)).cast("int")
+    thin = F.filter("_edges", lambda e, i: (i + 1) % step == 0)
+    edges = edges.withColumn("_edges", F.array_sort(F.array_distinct(F.when(F.size(thin) > 0, thin).otherwise(F.col("_edges"))))).drop("_n")
     return HotGroups(keys, order, cut(edges, "hot"))
 
 
@@ -84,7 +88,7 @@ def with_edges(df: DataFrame, hot: HotGroups | None, how: str = "left") -> DataF
     if hot is None:
         return df
     if not hot.keys:
-        # One group, all rows hot: its edges (at most ``max_pieces``) become a literal.
+        # One group, all rows hot: its edges (at most ``1 / share`` + 1) become a literal.
         edges = hot.table.first()["_edges"]
         return df.withColumn("_edges", F.array(*[F.lit(e) for e in edges]))
     t = F.broadcast(hot.table.select(*[F.col(k).alias(f"_h_{k}") for k in hot.keys], "_edges"))

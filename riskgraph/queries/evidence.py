@@ -170,7 +170,7 @@ def entity_risks(spark, sf_dir):
 
 @query("investigation_reports", f"""WITH {ALERT_SQL} SELECT alert_id, "TransactionID", risk_level,
   CASE risk_level WHEN 'CRITICAL' THEN 'deep' WHEN 'HIGH' THEN 'standard' ELSE 'quick' END AS depth,
-  risk_level || ' risk on transaction ' || "TransactionID" || ' (score ' || printf('%.2f', fraud_score) || ').' AS summary,
+  'Transaction ' || "TransactionID" || ': ' || risk_level || ', score ' || printf('%.2f', fraud_score) || '.' AS summary,
   CASE WHEN risk_level = 'CRITICAL' THEN 'decline' WHEN risk_level = 'HIGH' THEN 'escalate' ELSE 'review' END
     AS recommended_action, risk_level <> 'MEDIUM' AS requires_human_review,
   CASE risk_level WHEN 'CRITICAL' THEN 8 WHEN 'HIGH' THEN 6 ELSE 2 END::bigint AS n_tools FROM al""")
@@ -306,12 +306,18 @@ def _hold_sql(name, severity, cond, hold):
       SELECT ts, coalesce({cond}, false) AS flag FROM hr))) WHERE flag AND ts - since >= {hold}"""
 
 
-@query("hold_rules", f"WITH {_HOURLY} " + " UNION ALL ".join(_hold_sql(*r) for r in (
+_HELD = (
     ("FraudRateSpike", "critical", "production_fraud_rate > 0.10", 300),
     ("HighLatency", "warning", "latency_p95 > 0.05", 600),
     ("HighErrorRate", "critical", "error_rate > 0.05", 300),
-    ("ShadowChallengerDisagreement", "warning", "shadow_agreement < 0.90", 1800))))
+    ("ShadowChallengerDisagreement", "warning", "shadow_agreement < 0.90", 1800))
+_UNREAD = [f"SELECT '{r.name}', 'warning', ts, (SELECT min(ts) FROM hr) FROM hr"
+           for r in R.HOLD_RULES if r.name not in {h[0] for h in _HELD}]
+
+
+@query("hold_rules", f"WITH {_HOURLY} " + " UNION ALL ".join([_hold_sql(*r) for r in _HELD] + _UNREAD))
 def hold_rules(spark, sf_dir):
+    """All standing rules; those whose series this history lacks fire as warnings."""
     return rounded(R.evaluate_hold_rules(hourly_metrics(spark, sf_dir), R.HOLD_RULES))
 
 

@@ -204,7 +204,7 @@ def neighbour_fraud_rates(spark, sf_dir):
 def graph_features(spark, sf_dir):
     """All 28 columns; their parts are compared one by one in the other graph queries."""
     tx = transactions(spark, sf_dir)
-    return rounded(G.fit_graph_features(tx, betweenness_k=50).transform(tx), 9)
+    return rounded(G.fit_graph_features(tx).transform(tx), 9)
 
 
 # -- heterogeneous graph -------------------------------------------------------------------------

@@ -85,7 +85,7 @@ def pca_embeddings(spark, sf_dir):
 def feature_pipeline(spark, sf_dir):
     """All 119 columns with event time; temporal and entity views are compared in their own queries."""
     tx = transactions(spark, sf_dir)
-    return FP.with_event_time(FP.fit_features(tx, betweenness_k=20).transform(tx))
+    return FP.with_event_time(FP.fit_features(tx).transform(tx))
 
 
 @query("feature_view", f"""WITH {TX_SQL} SELECT "TransactionID",
@@ -102,8 +102,8 @@ def feature_view(spark, sf_dir):
 
 # -- sources and sinks ------------------------------------------------------------------------------
 
-@query("csv_round_trip", f"""WITH {TX_SQL} SELECT "TransactionID", "TransactionDT", {rsql({
-  "TransactionAmt": '"TransactionAmt"::float', "id_01": 'CASE WHEN "DeviceType" IS NOT NULL THEN id_01 END::float'}, 3)},
+@query("csv_round_trip", f"""WITH {TX_SQL} SELECT "TransactionID", "TransactionDT", card1, {rsql({
+  "TransactionAmt": '"TransactionAmt"', "id_01": 'CASE WHEN "DeviceType" IS NOT NULL THEN id_01 END'}, 3)},
   CASE WHEN "DeviceType" IS NOT NULL THEN 'os ' || k END AS id_30 FROM tx""")
 def csv_round_trip(spark, sf_dir):
     """CSV files written and loaded by the raw loader, with typed families and text id columns."""
@@ -112,7 +112,32 @@ def csv_round_trip(spark, sf_dir):
     tx.write.option("header", True).csv(a)
     identity(spark, sf_dir).select("TransactionID", "id-01", "id-30").write.option("header", True).csv(b)
     df = readers.load_raw(spark, a, b)
-    return rounded(df.select("TransactionID", "TransactionDT", "TransactionAmt", "id_01", "id_30"), 3)
+    return rounded(df.select("TransactionID", "TransactionDT", "card1", "TransactionAmt", "id_01", "id_30"), 3)
+
+
+@query("csv_rejects", f"""WITH {TX_SQL} SELECT ("TransactionID" % 50 = 0) AS bad, count(*) AS n, sum("TransactionID")::bigint AS ids FROM tx GROUP BY 1""")
+def csv_rejects(spark, sf_dir):
+    """Rows with an amount that is no number are sorted out, the others loaded."""
+    tx = transactions(spark, sf_dir).select("TransactionID", "TransactionDT", F.when(
+        F.col("TransactionID") % 50 == 0, F.lit("oops")).otherwise(F.col("TransactionAmt").cast("string")).alias("TransactionAmt"), "card1")
+    path = new_path(spark, "tx") + ".csv"
+    tx.write.option("header", True).csv(path)
+    good, bad = readers.load_raw_checked(spark, path)
+    ids = good.select(F.lit(False).alias("bad"), "TransactionID").unionByName(bad.select(
+        F.lit(True).alias("bad"), F.get_json_object("rejected", "$.TransactionID").cast("long").alias("TransactionID")))
+    return ids.groupBy("bad").agg(F.count(F.lit(1)).alias("n"), F.sum("TransactionID").alias("ids"))
+
+
+@query("load_by_suffix", f"""WITH {TX_SQL} SELECT kind, "TransactionID", card1, {rsql({"TransactionAmt": '"TransactionAmt"'}, 3)}
+  FROM tx, (VALUES ('parquet'), ('tsv')) k(kind)""")
+def load_by_suffix(spark, sf_dir):
+    """Parquet and tab-separated files, told apart by their names."""
+    tx = transactions(spark, sf_dir).select("TransactionID", "TransactionAmt", "card1")
+    p, t = new_path(spark, "tx") + ".parquet", new_path(spark, "tx") + ".tsv"
+    tx.write.parquet(p)
+    tx.write.option("header", True).option("sep", "\t").csv(t)
+    out = [readers.load_frame(spark, x).withColumn("kind", F.lit(k)) for k, x in (("parquet", p), ("tsv", t))]
+    return rounded(out[0].unionByName(out[1]).select("kind", "TransactionID", "card1", "TransactionAmt"), 3)
 
 
 @query("split_sink", f"""WITH {TX_SQL}, r AS (SELECT "TransactionID", row_number() OVER (ORDER BY "TransactionDT", "TransactionID") - 1 AS i,

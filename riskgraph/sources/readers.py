@@ -10,51 +10,82 @@ from pyspark.sql import types as T
 
 from riskgraph.schema import CARD, ID, TIME
 
-_FLOATS = re.compile(r"([VDC]\d+|TransactionAmt|dist[12]|addr[12]|card[1235])")
+_DOUBLES = re.compile(r"([VDC]\d+|TransactionAmt|dist[12]|addr[12]|card[235])")
+_ID = re.compile(r"id[_-]?\d+")
 
 
 def csv_schema(header, text_ids: bool = False) -> T.StructType:
-    """Narrow types by column family; ``text_ids`` leaves the id columns untyped."""
+    """Types by column family, wide enough for every key; ``text_ids`` leaves the id columns text."""
     def kind(name: str) -> T.DataType:
-        if _FLOATS.fullmatch(name):
-            return T.FloatType()
-        if re.fullmatch(r"id[_-]?\d+", name):
-            return T.StringType() if text_ids else T.FloatType()
-        return {"isFraud": T.ByteType(), "TransactionDT": T.IntegerType(),
-                "TransactionID": T.LongType()}.get(name, T.StringType())
+        if _DOUBLES.fullmatch(name):
+            return T.DoubleType()
+        if _ID.fullmatch(name):
+            return T.StringType() if text_ids else T.DoubleType()
+        return {"isFraud": T.ByteType(), TIME: T.LongType(), CARD: T.LongType(),
+                ID: T.LongType()}.get(name, T.StringType())
     return T.StructType([T.StructField(c, kind(c)) for c in header])
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """CSV scan with types from the header line alone; no inference pass over the data.
+def _typed(name: str, kind: T.DataType):
+    """Checked cast; whole numbers may be written with a zero fraction."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.LongType, T.ByteType)):
+        wide = c.try_cast("decimal(38,6)")
+        return F.coalesce(c.try_cast(kind), F.when(wide == F.floor(wide), wide.try_cast(kind)))
+    return c.try_cast(kind)
 
-    Identity columns may hold text: a numeric id column with any unreadable value is read as text.
+
+def _text(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """All columns as text, named by the header line alone."""
+    names = [str(x) for x in spark.read.option("sep", sep).csv(path).limit(1).first()]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    return spark.read.options(header="true", sep=sep).schema(schema).csv(path)
+
+
+def _schema_of(text: DataFrame, text_ids) -> T.StructType:
+    """Types of the columns of ``text``.
+
+    Identity columns may hold text.  ``text_ids`` names those that do; without it one aggregate
+    over the id columns finds those with a value that is no number.
     """
-    header = spark.read.option("sep", sep).csv(path).limit(1).first()
-    names = [str(x) for x in header]
-    opts = {"header": "true", "sep": sep, "mode": "PERMISSIVE"}
-    ids = [c for c in names if re.fullmatch(r"id[_-]?\d+", c)]
-    schema = csv_schema(names)
-    if ids:
-        text = spark.read.options(**opts).schema(csv_schema(names, text_ids=True)).csv(path)
-        bad = text.agg(*[
-            F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("float").isNull()).alias(c)
-            for c in ids]).first()
-        schema = T.StructType([
-            T.StructField(f.name, T.StringType()) if f.name in ids and bad[f.name] else f
-            for f in schema.fields])
-    return spark.read.options(**opts).schema(schema).csv(path)
-
-
-def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, sep: str = ","):
-    """Rows that match ``schema``, and as JSON text those with a value that does not."""
-    text = spark.read.options(header="true", sep=sep).schema(
-        T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(path)
+    ids = [c for c in text.columns if _ID.fullmatch(c)]
+    if text_ids is None and ids:
+        bad = text.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(c)
+                         for c in ids]).first()
+        text_ids = [c for c in ids if bad[c]]
+    return T.StructType([T.StructField(f.name, T.StringType()) if f.name in (text_ids or ()) else f
+                         for f in csv_schema(text.columns).fields])
+
+
+def read_csv(spark: SparkSession, path: str, sep: str = ",", text_ids=None) -> DataFrame:
+    """CSV scan with types by column family.  A cell that does not fit its type is an error of the
+    job that reads it, never a silent null; :func:`read_csv_checked` sorts such rows out instead."""
+    text = _text(spark, path, sep)
+    cols = []
+    for f in _schema_of(text, text_ids).fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType):
+            cols.append(c)
+            continue
+        value = _typed(f.name, f.dataType)
+        cols.append(F.when(c.isNotNull() & value.isNull(), F.raise_error(
+            F.concat(F.lit(f"{path}: column {f.name} cannot hold "), c)).cast(f.dataType)).otherwise(value).alias(f.name))
+    return text.select(*cols)
+
+
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType | None = None, sep: str = ",", text_ids=None):
+    """Rows that match ``schema`` (by default the column families), and as JSON text those with a value that does not."""
+    if schema is None:
+        text = _text(spark, path, sep)
+        schema = _schema_of(text, text_ids)
+    else:
+        text = spark.read.options(header="true", sep=sep).schema(
+            T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(path)
     ok = F.lit(True)
     for f in schema.fields:
-        ok = ok & (F.col(f"`{f.name}`").isNull() | F.col(f"`{f.name}`").try_cast(f.dataType).isNotNull())
-    good = text.filter(ok).select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields])
-    return good, text.filter(~ok).select(F.to_json(F.struct(*text.columns)).alias("rejected"))
+        ok = ok & (F.col(f"`{f.name}`").isNull() | _typed(f.name, f.dataType).isNotNull())
+    good = text.filter(ok).select(*[_typed(f.name, f.dataType).alias(f.name) for f in schema.fields])
+    return good, text.filter(~ok).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in text.columns])).alias("rejected"))
 
 
 def load_frame(spark: SparkSession, path: str) -> DataFrame:
@@ -82,6 +113,17 @@ def load_raw(spark: SparkSession, transactions: str, identity: str | None, limit
     return df if limit is None else time_ordered_subset(df, limit)
 
 
+def load_raw_checked(spark: SparkSession, transactions: str, identity: str | None = None, sep: str = ","):
+    """(transactions with identity columns, rejects as ``source, rejected``): bad rows of either file are kept apart."""
+    good, bad = read_csv_checked(spark, transactions, sep=sep)
+    bad = bad.withColumn("source", F.lit("transactions"))
+    ident = None
+    if identity:
+        ident, worse = read_csv_checked(spark, identity, sep=sep)
+        bad = bad.unionByName(worse.withColumn("source", F.lit("identity")))
+    return join_identity(good, ident), bad.select("source", "rejected")
+
+
 def time_ordered_subset(df: DataFrame, n: int, *, time: str = TIME, ident: str = ID) -> DataFrame:
     return df.orderBy(time, ident).limit(n)
 

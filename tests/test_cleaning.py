@@ -116,7 +116,7 @@ def test_loaders(spark, tmp_path):
     p = str(tmp_path / "a.csv")
     raw(spark).select("TransactionID", "TransactionDT", "TransactionAmt", "V2", "id_01", "P_emaildomain").write.option("header", True).csv(p)
     df = readers.load_frame(spark, p)
-    assert dict(df.dtypes)["TransactionID"] == "bigint" and dict(df.dtypes)["id_01"] == "float" and df.count() == 8
+    assert dict(df.dtypes)["TransactionID"] == "bigint" and dict(df.dtypes)["id_01"] == "double" and df.count() == 8
     with pytest.raises(ValueError):
         readers.load_frame(spark, "x.xlsx")
     bad = tmp_path / "bad.csv"
@@ -133,3 +133,22 @@ def test_null_columns_and_empty_fit(spark):
     df = raw(spark).withColumn("id_01", F.lit(None).cast("double"))
     assert N.bin_risk(df, "id_01") is None
     assert N.fit_entity(df).transform(df).first()["feat_id_01_bin_risk"] == pytest.approx(0.5)
+
+
+def test_csv_keeps_large_keys_and_sorts_out_bad_cells(spark, tmp_path):
+    p, i = tmp_path / "t.csv", tmp_path / "i.csv"
+    p.write_text("TransactionID,TransactionDT,TransactionAmt,card1,card2\n1,99999999999,1.25,16777216,1.0\n2,5,2.5,16777217.0,\n3,6,oops,7,8\n")
+    i.write_text("TransactionID,id_01,id_30\n1,-5.0,os 1\n2,x,\n")
+    good, bad = readers.load_raw_checked(spark, str(p), str(i))
+    rows = {r.TransactionID: r for r in good.collect()}
+    assert rows[1].TransactionDT == 99999999999 and (rows[1].card1, rows[2].card1) == (16777216, 16777217)
+    assert rows[1].id_01 == "-5.0"  # a text in one row makes the column text
+    assert [(r.source, '"TransactionAmt":"oops"' in r.rejected) for r in bad.collect()] == [("transactions", True)]
+    with pytest.raises(Exception, match="TransactionAmt cannot hold oops"):
+        readers.load_raw(spark, str(p), None).collect()
+
+
+def test_codes_are_looked_up_not_recomputed(spark):
+    df = raw(spark)
+    plan = C.fit_clean(df).encode(df.select("TransactionID", "P_emaildomain"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan

@@ -61,7 +61,7 @@ def test_report_and_missing_evidence(spark):
     full = V.reports(V.match_patterns(evidence(spark, risk_level="CRITICAL", fraud_score=.93))).first()
     assert full["recommended_action"] == "decline" and full["requires_human_review"] and len(full["tools_used"]) == 8
     bare = V.reports(evidence(spark).select("alert_id", "TransactionID", "risk_level", "fraud_score")).first()
-    assert bare["summary"] == bare["narrative"] == "LOW risk on transaction 1 (score 0.05)."
+    assert bare["summary"] == bare["narrative"] == "Transaction 1: LOW, score 0.05."
 
 
 def test_case_upsert_keeps_status_and_opening_time(spark):

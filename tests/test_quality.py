@@ -135,3 +135,21 @@ def test_hold_time(spark):
 def test_score_histogram_clamps_the_last_bin(spark):
     h = {r["bin"]: r["n"] for r in P.score_histogram(scored(spark, [0.0, .999, 1.0], [0, 0, 0]), "s").collect()}
     assert h[0] == 1 and h[19] == 2 and sum(h.values()) == 3
+
+
+def test_nearest_rank_of_few_rows(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(10)], "id long, v double")
+    got = {r["p"]: r["value"] for r in P.nearest_rank(df, "v", "id").collect()}
+    assert got == {0.5: 5.0, 0.95: 9.0, 0.99: 9.0}
+
+
+def test_unreadable_hold_rule_warns(spark):
+    h = spark.createDataFrame([(1, 0.1), (2, 0.2)], "ts long, error_rate double")
+    got = R.evaluate_hold_rules(h, [R.HoldRule("typo", "critical", "eror_rate > 0.5", 60)]).collect()
+    assert [(r["rule"], r["severity"]) for r in got] == [("typo", "warning")] * 2
+
+
+def test_empty_inputs(spark):
+    none = spark.createDataFrame([], "series string, ts long, v double")
+    assert R.absent_windows(none, spark.createDataFrame([("a",)], "series string"), 60).count() == 0
+    assert P.histogram(none, none["v"], 5, "series").count() == 0
