@@ -231,6 +231,7 @@ def _more(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, partitions: int | None = None) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; other columns are kept."""
     spark = pieces.sparkSession
+    pieces = cut(pieces, "tokenised")  # dealing by range reads its input twice
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in ("length", "doc_id", "piece", "ids_crc32")]
     dealt = pieces.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
