@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskgraph.functions import scalar as S
@@ -245,6 +245,16 @@ class GraphModel:
             "k_email": text_key(F.col(EMAIL)), "k_device": S.device_key(F.col(DEVICE[0]), F.col(DEVICE[1])),
             "k_ip_address": ip, "k_merchant": self.merchant().cast("string")})
 
+    def globals(self) -> dict:
+        return {k: getattr(self, k) for k in ("id01_edges", "id02_edges", "merchant_cols", "centers")}
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"nodes": self.nodes}
+
+    @classmethod
+    def restore(cls, spark: SparkSession, values: dict, tables: dict) -> GraphModel:
+        return cls(**values, **tables)
+
     def merchant(self):
         """Index of the nearest centre (the smallest among equals)."""
         if len(self.centers) < 2:

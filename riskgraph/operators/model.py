@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.functions import scalar as S
@@ -58,7 +59,16 @@ class Scorer:
         return df if k is None else df.limit(k)
 
     def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(path)
+        """The fitted pipeline and, as one JSON row beside it, columns, threshold, version and width."""
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        head = {k: getattr(self, k) for k in ("columns", "threshold", "version", "emb_dim")}
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Scorer:
+        head = json.loads(spark.read.text(f"{path}/head").first()[0])
+        return cls(PipelineModel.load(f"{path}/pipeline"), **head)
 
 
 def _embedded(df: DataFrame, dim: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.operators.entity import EntityModel, fit_entity
@@ -45,6 +45,22 @@ class FeatureModel:
         names = [c for v in VIEWS.values() for c in v]
         return out.select(*head, *[F.col(c).cast(kind.get(c, "float")).alias(c) for c in names])
 
+    def _parts(self) -> dict:
+        return {"temporal": self.temporal, "entity": self.entity, "graph": self.graph}
+
+    def globals(self) -> dict:
+        return {name: part.globals() for name, part in self._parts().items()}
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {f"{name}.{t}": df for name, part in self._parts().items() for t, df in part.tables().items()}
+
+    @classmethod
+    def restore(cls, spark: SparkSession, values: dict, tables: dict) -> FeatureModel:
+        kinds = {"temporal": TemporalModel, "entity": EntityModel, "graph": GraphFeatureModel}
+        return cls(**{name: kind.restore(spark, values[name], {
+            t.split(".", 1)[1]: df for t, df in tables.items() if t.startswith(name + ".")})
+            for name, kind in kinds.items()})
+
 
 def fit_features(df: DataFrame, fit_filter=None, **graph_options) -> FeatureModel:
     """Fit all three builders on the rows under ``fit_filter`` (all rows without one)."""

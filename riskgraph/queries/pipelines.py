@@ -15,8 +15,9 @@ from riskgraph.operators.entity import fit_entity
 from riskgraph.operators.temporal import card_causal, fit_temporal
 from riskgraph.plans.lineage import cut, new_path
 from riskgraph.queries.drift import CAT, NUM
+from riskgraph.queries.entity import _ENTITY_SQL
 from riskgraph.queries.registry import query, rounded, rsql
-from riskgraph.queries.temporal import CARD_COLS, WINDOW_SQL, _card_n, _causal_sql
+from riskgraph.queries.temporal import _TEMPORAL_SQL, CARD_COLS, WINDOW_SQL, _card_n, _causal_sql
 from riskgraph.schema import AMOUNT_FEATURES, DAY, HOUR, TEMPORAL_FEATURES
 from riskgraph.sources import readers, sinks
 from riskgraph.sources.tables import (
@@ -88,6 +89,31 @@ def feature_pipeline(spark, sf_dir):
     return FP.with_event_time(FP.fit_features(tx).transform(tx))
 
 
+_COUNTED = ("feat_hour", "feat_dow", "feat_is_weekend", "feat_is_night", "feat_txn_count_1h", "feat_txn_count_24h",
+            "feat_txn_count_7d", "feat_card_txn_count_1h", "feat_card_txn_count_24h")
+_STATED = ("feat_card_count", "feat_email_count", "feat_addr_count", "feat_device_count", "feat_addr_n_cards", "feat_device_n_cards")
+
+
+@query("pipeline_round_trip", f"""WITH t AS ({_TEMPORAL_SQL}), e AS ({_ENTITY_SQL})
+SELECT "TransactionID", {", ".join(f"t.{c}::bigint AS {c}" for c in _COUNTED)},
+  {", ".join(f"e.{c}::bigint AS {c}" for c in _STATED)}, 0::bigint AS n_different
+FROM t JOIN e USING ("TransactionID")""")
+def pipeline_round_trip(spark, sf_dir):
+    """The fitted pipeline saved, loaded and applied; ``n_different`` counts the columns, of all 119,
+    in which the loaded model and the fitted one disagree."""
+    tx = transactions(spark, sf_dir)
+    model = FP.fit_features(tx)
+    path = new_path(spark, "pipeline")
+    sinks.save_model(model, path)
+    direct = model.transform(tx)
+    loaded = sinks.load_model(spark, FP.FeatureModel, path).transform(tx)
+    names = [c for c in direct.columns if c.startswith("feat_")]
+    other = direct.select(F.col("TransactionID").alias("_id"), *[F.col(c).alias(f"_{c}") for c in names])
+    j = loaded.join(other, F.col("TransactionID") == F.col("_id"))
+    differ = sum(((~F.col(c).eqNullSafe(F.col(f"_{c}"))).cast("bigint") for c in names), F.lit(0).cast("bigint"))
+    return j.select("TransactionID", *[F.col(c).cast("bigint").alias(c) for c in (*_COUNTED, *_STATED)], differ.alias("n_different"))
+
+
 @query("feature_view", f"""WITH {TX_SQL} SELECT "TransactionID",
   "TransactionDT" + 1483228800 AS event_seconds, {rsql({"feat_amt_log1p": '(ln(1 + "TransactionAmt"))::float'}, 5)} FROM tx""")
 def feature_view(spark, sf_dir):
