@@ -18,6 +18,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,14 +75,14 @@ def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: floa
     """Weights (and bias, last) of a linear hinge-loss model by dual coordinate descent."""
     rng = np.random.default_rng(seed)
     sign = np.where(y == 1, 1.0, -1.0)
-    values = [scale[r] for r in rows]
-    norm = np.array([v @ v + 1.0 for v in values])
+    norm = np.array([scale[r] @ scale[r] + 1.0 for r in rows])
     # Both classes get the same total cost.
     limit = np.where(y == 1, cost * len(y) / (2 * max(1, (y == 1).sum())), cost * len(y) / (2 * max(1, (y == 0).sum())))
     alpha, w, bias = np.zeros(len(rows)), np.zeros(DIMS), 0.0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = scale[r]
             slope = sign[i] * (w[r] @ v + bias) - 1
             new = min(max(alpha[i] - slope / norm[i], 0.0), limit[i])
             if new != alpha[i]:
@@ -95,13 +96,16 @@ def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: floa
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
     """``weights, bias, calibration``: one number per hashed column, whatever the input's size."""
     sample = labelled_sample(docs, labels, "quality", train_rows)
-    table = per_row(sample.select("doc_id", "text", "y"), "doc_id long, y int, g array<int>", _labelled_grams).toPandas()
-    table = table.sort_values("doc_id", kind="stable")
+    table = per_row(sample.select("doc_id", "text", "y"), "doc_id long, y int, g array<int>", _labelled_grams).toArrow()
+    table = table.sort_by("doc_id").combine_chunks()
     y = table["y"].to_numpy()
     if not len(y) or len(np.unique(y)) < 2:
         rate = float(y.mean()) if len(y) else 0.5
         return np.zeros(DIMS, np.float32), 0.0, np.array([0.0, np.clip(np.log((rate + 1e-9) / (1 - rate + 1e-9)), -30, 30)])
-    rows = [np.array(g, np.int64) for g in table["g"]]
+    columns = table["g"].combine_chunks()
+    columns = columns.chunk(0) if isinstance(columns, pa.ChunkedArray) else columns
+    ends, flat = columns.offsets.to_numpy(), columns.values.to_numpy()
+    rows = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     apart = np.arange(len(y)) % 5 == 0  # for the calibration
     if len(np.unique(y[~apart])) < 2 or len(np.unique(y[apart])) < 2:
         apart = np.zeros(len(y), bool)

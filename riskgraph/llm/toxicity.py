@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
     """Lexicon and logistic weights."""
     sample = labelled_sample(docs, labels, "toxic", train_rows)
     weights = learn_lexicon(sample)
-    rows = per_row(sample.select("doc_id", "text", "y"), "y int, x array<double>", _labelled, weights).toPandas()
+    rows = per_row(sample.select("doc_id", "text", "y"), "y int, x array<double>", _labelled, weights).toArrow().to_pandas()
     if not len(rows) or rows["y"].nunique() < 2:
         rate = float(rows["y"].mean()) if len(rows) else 0.0
         return {}, np.array([0.0] * N_FEATURES + [30.0 if rate >= 1 else -30.0])
