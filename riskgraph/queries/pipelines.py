@@ -265,7 +265,7 @@ SELECT "TransactionID", coalesce(gap0, 0) AS gap, {_card_n(HOUR)} AS n_3600s, {_
 def stream_card_features(spark, sf_dir):
     """Stateful per-card features; equal to the batch windows."""
     out = _collect(spark, ST.card_features(_tx_stream(spark, sf_dir)), "cardstate")
-    return rounded(out.drop("card1", "TransactionDT"), 3)
+    return rounded(out.filter("NOT late").drop("card1", "TransactionDT", "late"), 3)
 
 
 def _messages(spark, sf_dir):
@@ -326,30 +326,33 @@ def stream_late_labels(spark, sf_dir):
 @query("stream_performance", f"""WITH {TX_SQL} SELECT count(*) AS n_total, count(*) FILTER (fraud_score >= 0.5 AND "isFraud" = 1) AS tp,
   count(*) FILTER (fraud_score >= 0.5 AND "isFraud" = 0) AS fp, {rsql({"brier": 'avg((fraud_score - "isFraud") ** 2)'}, 8)} FROM tx""")
 def stream_performance(spark, sf_dir):
-    """Snapshot over the retained records after every micro-batch; the last one is returned."""
+    """Counts of every micro-batch, kept as one row each; the sums are the state after the last one."""
     store, snaps, chk = (new_path(spark, t) for t in ("records", "snaps", "perf-chk"))
 
     def after(batch, batch_id):
-        rec = spark.read.parquet(store)
-        E.snapshot(rec).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{snaps}/n={batch_id}")
+        called = F.col("score") >= 0.5
+        batch.agg(
+            F.count(F.lit(1)).alias("n_total"), F.count_if(called & (F.col("label") == 1)).alias("tp"),
+            F.count_if(called & (F.col("label") == 0)).alias("fp"),
+            F.sum((F.col("score") - F.col("label")) ** 2).alias("error"), F.count("label").alias("n"),
+        ).write.mode("overwrite").parquet(f"{snaps}/batch={batch_id}")
 
     s = _tx_stream(spark, sf_dir).select(
         F.col("TransactionID").alias("transaction_id"), F.col("fraud_score").alias("score"),
         F.col("event_ts").alias("ts"), F.col("isFraud").alias("label"))
     A.run_to_end(A.fan_out(s, [A.table_consumer(store), after], chk))
-    allv = spark.read.parquet(snaps)
-    return rounded(allv.agg(F.max_by(F.struct("n_total", "tp", "fp", "brier"), "batch").alias("s")).select("s.*"), 8)
+    every = spark.read.parquet(snaps)
+    return rounded(every.agg(*[F.sum(c).alias(c) for c in ("n_total", "tp", "fp")], (F.sum("error") / F.sum("n")).alias("brier")), 8)
 
 
 @query("stream_shadow", f"""WITH {TX_SQL} SELECT "TransactionID" AS transaction_id,
   (fraud_score >= 0.5) = (least("TransactionAmt" / 300.0::double, 1) >= 0.5) AS agreement, k + 5 > 80 AS skipped FROM tx""")
 def stream_shadow(spark, sf_dir):
-    """Both models score the same row, so pairing needs no join; the budget filters on latency."""
-    x = _tx_stream(spark, sf_dir)
+    """A challenger beside the champion on a stream; the budget filters on latency."""
+    x = _tx_stream(spark, sf_dir).withColumnRenamed("TransactionID", "transaction_id")
     b = F.least(F.col("TransactionAmt") / 300.0, F.lit(1.0))
-    out = x.select(F.col("TransactionID").alias("transaction_id"),
-                   ((F.col("fraud_score") >= 0.5) == (b >= 0.5)).alias("agreement"), (F.col("k") + 5 > 80).alias("skipped"))
-    return _collect(spark, out, "shadow")
+    out = A.shadow_pairs(x, F.col("fraud_score"), b, over_budget=F.col("k") + 5 > 80)
+    return _collect(spark, out.drop("champion", "challenger"), "shadow")
 
 
 @query("ttl_cache", f"""WITH {TX_SQL}, n AS (SELECT max("TransactionDT") AS t FROM tx)

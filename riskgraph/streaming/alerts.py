@@ -82,6 +82,24 @@ def score_to_alerts(scored: DataFrame, *, threshold: float = 0.7) -> DataFrame:
     return scored.filter(s >= threshold).withColumn("risk_level", S.alert_level(s))
 
 
+def score_stream(stream: DataFrame, scorer, *, threshold: float = 0.7) -> DataFrame:
+    """Rows to alerts by a fitted scorer inside the stream."""
+    return score_to_alerts(scorer.score(stream), threshold=threshold)
+
+
+def shadow_pairs(rows: DataFrame, champion, challenger, *, ident: str = "transaction_id", threshold: float = 0.5,
+                 over_budget=None) -> DataFrame:
+    """``ident, champion, challenger, agreement, skipped`` of every row.
+
+    Both models score the same row, so pairing needs no join and no state, on streams and tables
+    alike; ``over_budget`` (a condition) marks rows the challenger should have left out.
+    """
+    skipped = F.lit(False) if over_budget is None else over_budget
+    return rows.select(
+        F.col(ident), champion.alias("champion"), challenger.alias("challenger"),
+        ((champion >= threshold) == (challenger >= threshold)).alias("agreement"), skipped.alias("skipped"))
+
+
 def dedupe(alerts: DataFrame, *, ts: str = "timestamp", delay: str = "1 hour", key: str = "transaction_id") -> DataFrame:
     """Drop redelivered alerts: the same key within the watermark counts once."""
     return alerts.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])

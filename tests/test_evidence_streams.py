@@ -54,7 +54,7 @@ def test_entity_risks_order_and_clip(spark):
     assert [e["entity_type"] for e in r] == ["card", "device", "email", "ip", "merchant"]
     assert r[0]["risk_score"] == 1.0 and len(r[0]["contributing_factors"]) == 3
     assert r[2]["risk_score"] == pytest.approx(.875)
-    assert V.entity_risks(evidence(spark)).first()["entity_risks"][0]["contributing_factors"] == ["no signal"]
+    assert V.entity_risks(evidence(spark)).first()["entity_risks"][0]["contributing_factors"] == ["nothing stands out"]
 
 
 def test_report_and_missing_evidence(spark):
@@ -106,3 +106,29 @@ def test_cache_expires(spark):
     warm = spark.createDataFrame([("c", 60, 9.0)], "key string, ts long, value double")
     got = {r["key"]: r["value"] for r in ST.cache_snapshot(u, 100, 60, warm=warm).collect()}
     assert got == {"a": 2.0, "c": 9.0}
+
+
+def _play(spark, tmp_path, batches):
+    """Rows (id, time, amount, card) of several micro-batches through the keyed state."""
+    schema = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long"
+    src, out, chk = (str(tmp_path / x) for x in ("in", "out", "chk"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        s = A.file_source(spark, src, spark.createDataFrame([], schema).schema)
+        A.run_to_end(ST.card_features(s).writeStream.format("parquet").option("path", out).option("checkpointLocation", chk))
+    return {r["TransactionID"]: r for r in spark.read.parquet(out).collect()}
+
+
+def test_state_takes_nulls_and_sets_late_rows_apart(spark, tmp_path):
+    got = _play(spark, tmp_path, [
+        [(1, 100000, 10.0, 7), (2, 200000, 5.0, 7), (3, 5, None, None)],
+        [(4, 150000, None, 7), (5, 200010, 1.0, 7), (6, 9, 2.0, None)]])
+    assert got[4]["late"] and got[4]["gap"] is None
+    assert (got[5]["late"], got[5]["gap"], got[5]["n_3600s"], got[5]["cum_amount"]) == (False, 10, 2, 16.0)
+    assert (got[6]["card1"], got[6]["gap"], got[6]["cum_amount"]) == (None, 4, 2.0)
+
+
+def test_shadow_pairs(spark):
+    df = spark.createDataFrame([(1, 0.9, 0.2), (2, 0.1, 0.4)], "transaction_id long, a double, b double")
+    got = A.shadow_pairs(df, df["a"], df["b"]).orderBy("transaction_id").collect()
+    assert [(r["agreement"], r["skipped"]) for r in got] == [(False, False), (True, False)]
