@@ -241,6 +241,25 @@ def op5_decontaminate(spark, sf_dir) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(item_id::varchar, '') AS item, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item, m, array_to_string(w[p:p + m - 1], ' ') AS x FROM (
+  SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM (
+    SELECT item, w, least(len(w), {N}) AS m FROM i WHERE len(w) > 0))),
+dw AS (SELECT doc_id, m, p, array_to_string(w[p:p + m - 1], ' ') AS x FROM (
+  SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m)),
+h AS (SELECT doc_id, item, p, m FROM dw JOIN iw USING (m, x)),
+n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are not contaminated."""
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
