@@ -163,6 +163,17 @@ def test_packing(spark, docs, given):
     check_places(got)
 
 
+def test_chunks_are_encoded_as_by_the_tokenizer():
+    rng = random.Random(8)
+    signs = [*"abcdefghijklmnopqrstuvwxyzABCXYZ", *"éÉßñüÀÿ÷×øØ", "'s", "'ll", "’", ".", ",", "..", "!", "9", "12", "ａ", "e\u0301", "Σ", "ς",
+             "İ", "\u00a0", "\u2003", "\x1c", "😀", "<|endoftext|>", "中", "ά", "K", "ſ", "ŉ"]
+    ids = packing.ChunkIds(packing.tokenizer_path())
+    for _ in range(6000):
+        text = " ".join("".join(rng.choice(signs[: rng.choice([32, 43, len(signs)])]) for _ in range(rng.randint(1, 9))) for _ in range(3))
+        want = ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids.encode(text.encode().lower()), "<u4").tolist() == want, text
+
+
 def check_places(rows, bound=None):
     sequences = {}
     for r in rows:
@@ -289,7 +300,7 @@ def test_spelling_sums_to_one(spark):
     rng = np.random.default_rng(0)
     counts = np.zeros((2, lm_scoring.SLOTS), np.float32)
     counts[:] = rng.integers(0, 3, counts.shape)
-    mixer = lm_scoring.Mixer(counts)
+    mixer = lm_scoring.Mixer(spark.sparkContext.broadcast(counts))
     s = lm_scoring.Spelled([bytes([97, b]) for b in range(256)])
     contexts = [lm_scoring._hash(s.before, k) for k in range(lm_scoring.ORDERS)]
     out = np.zeros(len(s.byte))
