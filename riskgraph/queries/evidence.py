@@ -8,6 +8,7 @@ from riskgraph.functions import scalar as S
 from riskgraph.functions.quantiles import quantiles
 from riskgraph.operators import evidence as V
 from riskgraph.operators import rules as R
+from riskgraph.operators.graph import knn as K
 from riskgraph.plans.asof import asof_join
 from riskgraph.queries.registry import query, rounded, rsql
 from riskgraph.schema import DISPOSABLE_MARKERS
@@ -183,6 +184,30 @@ def investigation_reports(spark, sf_dir):
         "requires_human_review", F.size("tools_used").alias("n_tools")))
 
 
+@query("alert_similar_cases", f"""WITH {ALERT_SQL}, p AS (SELECT a.vec_id AS q, b.vec_id AS case_id,
+  round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 12) AS c
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (SELECT card1 FROM al)),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, case_id) AS rank FROM p)
+SELECT alert_id, rank, case_id, {rsql({"similarity": "greatest(0, least(1, (c + 1) / 2))"}, 8)} FROM al JOIN r ON al.card1 = r.q
+WHERE rank <= CASE WHEN risk_level = 'CRITICAL' THEN 5 ELSE 3 END""")
+def alert_similar_cases(spark, sf_dir):
+    """Nearest vectors of every alerted card, as many as its investigation asks for."""
+    al, e = alerts(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    asked = e.join(al.select(F.col("card1").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    m = K.with_similarity(K.similar_cases(asked, e, k=5, query_id="vec_id", query_vec="embedding", case_id="vec_id",
+                                          case_vec="embedding", skip_self=True))
+    out = V.attach_similar_cases(al, m).select("alert_id", F.explode("similar_cases").alias("s"))
+    return rounded(out.select("alert_id", "s.rank", "s.case_id", "s.similarity"), 8)
+
+
+@query("report_actions", f"""WITH {ALERT_SQL} SELECT CASE WHEN "TransactionAmt" IS NULL THEN 'review' WHEN fraud_score >= 0.8 THEN 'decline'
+  ELSE 'review' END AS recommended_action, count(*) AS n FROM al GROUP BY 1""")
+def report_actions(spark, sf_dir):
+    """Reports under an action rule of the caller's own, one of whose actions is unknown."""
+    own = V.reports(alerts(spark, sf_dir), action=lambda level, score: F.when(score >= 0.8, "Decline ").otherwise("page someone"))
+    return own.groupBy("recommended_action").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("investigation_routes", f"""WITH {ALERT_SQL} SELECT CASE risk_level WHEN 'CRITICAL' THEN 'deep'
   WHEN 'HIGH' THEN 'standard' ELSE 'quick' END AS branch, count(*) AS n FROM al GROUP BY 1""")
 def investigation_routes(spark, sf_dir):

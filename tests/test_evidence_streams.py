@@ -132,3 +132,11 @@ def test_shadow_pairs(spark):
     df = spark.createDataFrame([(1, 0.9, 0.2), (2, 0.1, 0.4)], "transaction_id long, a double, b double")
     got = A.shadow_pairs(df, df["a"], df["b"]).orderBy("transaction_id").collect()
     assert [(r["agreement"], r["skipped"]) for r in got] == [(False, False), (True, False)]
+
+
+def test_similar_cases_by_depth(spark):
+    al = spark.createDataFrame([("a", 1, "CRITICAL"), ("b", 1, "HIGH"), ("c", 2, "HIGH"), ("d", None, "HIGH")],
+                               "alert_id string, card1 long, risk_level string")
+    m = spark.createDataFrame([(1, 10 + i, i, 0.9) for i in range(1, 8)], "query_id long, case_id long, rank long, similarity double")
+    got = {r["alert_id"]: [c["case_id"] for c in r["similar_cases"]] for r in V.attach_similar_cases(al, m).collect()}
+    assert got == {"a": [11, 12, 13, 14, 15], "b": [11, 12, 13], "c": [], "d": []}
