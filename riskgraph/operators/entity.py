@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from riskgraph.functions import scalar as S
 from riskgraph.functions.quantiles import quantile_list, quantiles
 from riskgraph.plans.hot import MIN_ROWS
-from riskgraph.plans.lineage import cut_all
+from riskgraph.plans.lineage import cut, cut_all
 from riskgraph.schema import (
     ADDR, ADDR_STATS, AMOUNT, CARD, CARD_STATS, DAY, DEVICE, DEVICE_STATS, EMAIL, EMAIL_STATS,
     EMAIL_TO, ENTITY_FEATURES, ID, PRODUCT, TARGET, TIME,
@@ -268,6 +268,10 @@ def fit_entity(df: DataFrame, fit_filter=None, *, max_group: int = MIN_ROWS) ->
     ).first()
     n = int(g["n"])
     kw = {"max_group": max_group, "rows": n}
+    # All tables and both risk tables read these few columns, so they are written once.
+    narrow = [c for c in x.columns if c in (AMOUNT, TIME, TARGET, PRODUCT, "C1", "C13", "C14", "id_01", "id_02")
+              or c in ("_card", "_email", "_addr", "_device") or re.fullmatch(r"M\d+", c)]
+    x = cut(x.select(*narrow), "entity_rows")
     tables = cut_all({
         "cards": card_table(x, **kw), "emails": email_table(x, **kw), "addresses": shared_table(x, "_addr", **kw),
         "devices": shared_table(x, "_device", **kw), "card_devices": device_pairs(x),
@@ -275,7 +279,7 @@ def fit_entity(df: DataFrame, fit_filter=None, *, max_group: int = MIN_ROWS) ->
     return EntityModel(
         amount_mean=float(g["am"] or 0.0), amount_std=float(g["asd"] or 0.0) or 1.0,
         fraud_rate=float(g["fr"] or 0.0),
-        id_01=bin_risk(df, "id_01", **kw), id_02=bin_risk(df, "id_02", **kw),
+        id_01=bin_risk(x, "id_01", **kw), id_02=bin_risk(x, "id_02", **kw),
         v_cols=v_cols, v_mean=[float(g[f"m_{c}"]) for c in v_cols],
         v_std=[float(g[f"s_{c}"]) or 1.0 for c in v_cols], **tables,
     )

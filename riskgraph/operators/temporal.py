@@ -200,9 +200,10 @@ def second_windows(df: DataFrame, *, time: str = TIME, amount: str = AMOUNT,
     ``second_n_<w>s, second_sum_<w>s`` at its end.
     """
     a = F.coalesce(F.col(amount).cast("double"), F.lit(0.0))
-    per = df.groupBy(F.col(time).alias("_time")).agg(
+    # Read three times below, so written once: one row per distinct second.
+    per = cut(df.groupBy(F.col(time).alias("_time")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(a).alias("_s")
-    )
+    ), "seconds")
     kinds = F.array(
         F.struct(F.lit(0).alias("kind"), F.col("_time").alias("t")),
         *[F.struct(F.lit(i + 1).alias("kind"), (F.col("_time") + w).alias("t"))

@@ -10,6 +10,7 @@ from riskgraph.operators import evidence as V
 from riskgraph.operators import rules as R
 from riskgraph.operators.graph import knn as K
 from riskgraph.plans.asof import asof_join
+from riskgraph.plans.lineage import cut
 from riskgraph.queries.registry import query, rounded, rsql
 from riskgraph.schema import DISPOSABLE_MARKERS
 from riskgraph.sources.tables import TX_SQL, table, transactions
@@ -115,8 +116,11 @@ def evidence_frame(spark, sf_dir):
     """History, velocity and peer counts of every alert."""
     from riskgraph.operators.graph.build import peer_cards
 
-    tx = transactions(spark, sf_dir)
-    al = alerts(spark, sf_dir)
+    # History, velocity, peers and details all read these columns, so they are written once.
+    tx = cut(transactions(spark, sf_dir).select(
+        "TransactionID", "TransactionDT", "TransactionAmt", "card1", "isFraud", "fraud_score", "addr1", "addr2",
+        "DeviceType", "DeviceInfo", "P_emaildomain", "id_02", "ProductCD"), "evidence")
+    al = cut(V.alerts_from(tx, threshold=AT), "alerts")
     peers = peer_cards(tx, ("device_info",), limit=None).groupBy("card").agg(
         F.count(F.lit(1)).alias("n_unique_neighbors"))
     extra = tx.select(F.col("TransactionID").alias("_t"), "DeviceType", "P_emaildomain", "id_02", "ProductCD")
