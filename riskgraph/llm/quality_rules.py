@@ -3,7 +3,7 @@
 A line is normalised (A-Z small, digits to 0, white space to single spaces) and hashed.  Per host
 (``source``) the documents that carry a line are counted; a line above ``max_documents`` is
 boilerplate and counts as removed, except in the first document that has it.  A document is
-depleted, and rejected, when less than ``min_share`` of its words or fewer than ``min_words``
+depleted, and rejected, when less than ``min_share`` of its words or fewer than ``min_left``
 words would remain.
 
 Copies of one text are not different documents, so what is counted are families: the smallest
@@ -31,6 +31,8 @@ MAX_DOCUMENTS = 100
 MIN_WORDS = 10
 MAX_REPEATED = 0.2
 MIN_SHARE = 0.3
+#: A document of which fewer words are left is depleted even if that is a large share.
+MIN_LEFT = 5
 WINDOW = 5
 SALTS = 16
 
@@ -125,7 +127,7 @@ def base_failed():
 
 
 def judge(facts: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float = MIN_SHARE,
-          min_words: int = MIN_WORDS) -> DataFrame:
+          min_left: int = MIN_LEFT) -> DataFrame:
     """Facts with ``removed_words``, ``base_failed`` and ``kept``."""
     frequent = frequent_lines(facts, max_documents).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -137,7 +139,7 @@ def judge(facts: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float
     out = facts.join(removed, facts["key"] == removed["_key"], "left").drop("_key").withColumn(
         "removed_words", F.coalesce("removed_words", F.lit(0)))
     left = F.col("n_words") - F.col("removed_words")
-    depleted = (F.col("removed_words") > 0) & ((left < min_words) | (left < min_share * F.col("n_words")))
+    depleted = (F.col("removed_words") > 0) & ((left < min_left) | (left < min_share * F.col("n_words")))
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
