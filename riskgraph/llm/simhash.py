@@ -256,7 +256,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH, most: int = MOST, cell: int =
     ids = cut(found.groupBy(F.col("component_id").alias("_d")).agg(F.lit(1).alias("_one")).drop("_one"), "kept")
     repeated = found.groupBy(F.col("doc_id").alias("_d")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_d")
     repeated = cut(repeated, "repeated")
-    kept = docs.join(ids, same(docs, ids, {"doc_id": "_d"}), "left_semi")
+    # The kept ids grow with the input, so they are never broadcast: the plan is the same at every size.
+    kept = docs.join(ids.hint("merge"), same(docs, ids, {"doc_id": "_d"}), "left_semi")
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, same(kept, repeated, {"doc_id": "_d"}), "left_anti")
