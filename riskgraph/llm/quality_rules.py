@@ -6,19 +6,17 @@ boilerplate and counts as removed, except in the first document that has it.  A
 depleted, and rejected, when less than ``min_share`` of its words or fewer than ``min_left``
 words would remain.
 
-Copies of one text are not different documents, so what is counted are families: the smallest
-hash among a text's distinct words, which copies and near copies share.  A family count is
-distinct before it is counted, both with partial aggregation, so a hot host or line is only a sum;
-the few lines above the limit meet the document lines on a salted key.
+Copies of one text are not different documents, so what is counted are distinct hashes of the whole
+text; near copies count each.  A count is distinct before it is counted, both with partial
+aggregation, so a hot host or line is only a sum; the few lines above the limit meet the document
+lines on a salted key.
 
 Edge cases: null and empty texts have no words and fail the word rules; a null host is the host of
-the empty name; repeated rows are judged alike and count as one family.
+the empty name; repeated rows are judged alike and count as one document.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,7 +35,7 @@ WINDOW = 5
 SALTS = 16
 
 FACTS = ("doc_id long, host string, key long, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
-         " n_repeat_words long, family long, lines array<struct<h: long, n: int>>")
+         " n_repeat_words long, digest long, lines array<struct<h: long, n: int>>")
 
 _SYMBOLS = b"#*$%&|<>"
 _NOT_STARTS = WHITE + bytes(range(0x80, 0xC0))
@@ -69,8 +67,12 @@ def normal_line(line: bytes) -> bytes:
     return b" ".join(line.lower().translate(_DIGITS).split())
 
 
+def _hash(value: bytes) -> int:
+    return xxhash.xxh64_intdigest(value, 42) - (1 << 63)
+
+
 def measure(text: bytes) -> tuple:
-    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, family, lines`` of one text."""
+    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, digest, lines`` of one text."""
     words = text.split()
     seen, again = set(), 0
     lines: dict[bytes, int] = {}
@@ -85,11 +87,10 @@ def measure(text: bytes) -> tuple:
             seen.add(line)
         normal = normal_line(line)
         lines[normal] = lines.get(normal, 0) + n
-    family = min(map(zlib.crc32, set(words)), default=0)
-    hashed = [{"h": xxhash.xxh64_intdigest(k, 42) - (1 << 63), "n": v} for k, v in lines.items()]
+    hashed = [{"h": _hash(k), "n": v} for k, v in lines.items()]
     return (
         len(words), len(text.translate(None, _NOT_STARTS)), len(text) - len(text.translate(None, _SYMBOLS)),
-        again, repeated_words(words), family, hashed)
+        again, repeated_words(words), _hash(text), hashed)
 
 
 def _facts():
@@ -106,7 +107,7 @@ def row_hash():
 
 
 def line_facts(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Counts, family and line hashes of every document, written once (see :func:`judge`)."""
+    """Counts, text hash and line hashes of every document, written once (see :func:`judge`)."""
     keyed = texts(docs, F.col(host).cast("string").alias("host"), F.monotonically_increasing_id().alias("key"),
                   row_hash().alias("row"))
     # The written table fixes the row keys; they are only compared with themselves.
@@ -114,12 +115,12 @@ def line_facts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def frequent_lines(facts: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """``host, h, families, first``: lines in more than ``max_documents`` families of a host."""
-    lines = facts.select("host", "family", "key", F.explode("lines.h").alias("h"))
-    by_family = lines.groupBy("host", "h", "family").agg(F.min("key").alias("key"))
-    return by_family.groupBy("host", "h").agg(
-        F.count(F.lit(1)).alias("families"), F.min("key").alias("first")
-    ).filter(F.col("families") > max_documents)
+    """``host, h, documents, first``: lines in more than ``max_documents`` different texts of a host."""
+    lines = facts.select("host", "digest", "key", F.explode("lines.h").alias("h"))
+    by_text = lines.groupBy("host", "h", "digest").agg(F.min("key").alias("key"))
+    return by_text.groupBy("host", "h").agg(
+        F.count(F.lit(1)).alias("documents"), F.min("key").alias("first")
+    ).filter(F.col("documents") > max_documents)
 
 
 def base_failed():

@@ -271,6 +271,22 @@ def test_line_frequency(spark):
     assert 300 in kept and all(400 + i in kept for i in range(40))  # copies are one document
 
 
+def test_line_frequency_counts_documents(spark):
+    """1000 different short documents around one long line, at the production limit."""
+    rng = random.Random(2)
+    line = " ".join(f"{rng.getrandbits(40):x}" for _ in range(50))
+    rows = [(i, f"{line}\n" + " ".join(f"{rng.getrandbits(40):x}" for _ in range(4)), "a") for i in range(1000)]
+    rows += [(2000 + i, f"{line}\n{i}", "b") for i in range(quality_rules.MAX_DOCUMENTS)]
+    rows += [(3000 + i, f"{line}\nsame", "c") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = quality_rules.frequent_lines(quality_rules.line_facts(df)).collect()
+    assert [r.host for r in found] == ["a"]
+    kept = [r.doc_id for r in quality_rules.keep_passing(df).select("doc_id").collect()]
+    assert sum(i < 1000 for i in kept) == 1  # the first keeps its line
+    assert sum(2000 <= i < 3000 for i in kept) == quality_rules.MAX_DOCUMENTS  # not above the limit
+    assert sum(i >= 3000 for i in kept) == 200  # copies are one document
+
+
 def test_lm_base(spark, docs, given):
     given(lm_scoring, documents=docs)
     got = lm_scoring.op9_lm_scoring(spark, "").collect()
