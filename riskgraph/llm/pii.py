@@ -6,6 +6,10 @@ them (Luhn, mod-97, value ranges) and context words nearby adjust a score.  Posi
 the lengths of the text between matches: ``split`` and ``regexp_extract_all`` of one pattern give
 gaps and matches, whose running lengths are the starts and ends in code points.
 
+An IBAN may be followed by words that look like more of it, so its pattern takes only the head (country
+and check digits) and looks ahead at the longest run that may follow; each end of a group in that run
+is tested, and of several that leave 1 the one of the country's length is taken, else the longest.
+
 The four base kinds stay whatever their score; further kinds need ``THRESHOLD``.
 
 Edge cases: a null or empty text has no spans; texts are scanned whole; repeated rows each get
@@ -14,6 +18,7 @@ their result; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,13 +33,17 @@ THRESHOLD = 0.6
 
 @dataclass(frozen=True)
 class Kind:
-    """``pattern`` proposes; ``gate`` is a text every match contains (a cheap first test)."""
+    """``pattern`` proposes; ``gate`` is a text every match contains (a cheap first test).
+
+    With ``head`` the pattern takes that many characters, and its group 1 is the longest run they may start.
+    """
 
     name: str
     pattern: str
     score: float
     context: str
     gate: str = ""
+    head: int = 0
 
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -45,12 +54,20 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, r"\b(?:phone|tel|mobile|call|fax)\b", "+"),
 )
 MORE = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.9, r"\b(?:iban|bank|account|konto|cuenta|compte)\b"),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}", 0.9,
+         r"\b(?:iban|bank|account|konto|cuenta|compte)\b", head=4),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9[0-9]{2})[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.5, r"\b(?:ssn|social security)\b", "-"),
     Kind("birth_date", r"(?<![0-9./-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9./-])", 0.3, r"\b(?:born|birth|dob|geboren|nacido|naissance)\b", "-"),
 )
 KINDS = BASE + MORE
 
+#: Lengths of the registered countries' IBANs.
+IBAN_LENGTHS = {c: int(n) for c, n in re.findall("([A-Z]{2})([0-9]{2})", """
+    AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24
+    FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21
+    LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22
+    RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30""")}
+
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes Luhn's check."""
@@ -88,25 +105,43 @@ def valid(kind: str, match: Column) -> Column:
         return F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False)
     if kind == "phone":
         return F.length(_digits(match)).between(9, 15)
-    if kind == "iban":
-        s = F.regexp_replace(match, " ", "")
-        return F.when(F.length(s).between(15, 34), mod97(s)).otherwise(False)
     return F.lit(True)
 
 
+def iban_size(run: Column) -> Column:
+    """Characters of the IBAN that ``run`` starts with, at an end of one of its groups; 0 if there is none."""
+    groups = F.split(run, " ")
+    expected = F.try_element_at(F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair]), F.substring(run, 1, 2))
+
+    def end(i):
+        part = F.slice(groups, F.lit(1), i)
+        s = F.array_join(part, "")
+        good = F.when(F.length(s).between(15, 34), mod97(s)).otherwise(False)
+        return F.struct(good.alias("good"), F.coalesce(F.length(s) == expected, F.lit(False)).alias("usual"),
+                        F.length(F.array_join(part, " ")).alias("size"))
+
+    best = F.array_max(F.transform(F.sequence(F.lit(1), F.size(groups)), end))
+    return F.when(best["good"], best["size"]).otherwise(0)
+
+
 def _spans(kind: Kind, text: Column) -> Column:
     """Array of ``kind, start, end, score`` of the confirmed matches of one kind."""
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if kind.head else 0))
     gaps = F.split(text, kind.pattern, -1)
     item = "struct<s: int, e: int, m: string>"
     state = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{item}>").alias("out"))
 
     def step(acc, pair):
         start = acc["at"] + F.length(pair["g"])
-        end = start + F.length(pair["m"])
-        one = F.struct(start.alias("s"), end.alias("e"), pair["m"].alias("m")).cast(item)
-        return F.struct(end.alias("at"), F.when(valid(kind.name, pair["m"]), F.concat(acc["out"], F.array(one)))
-                        .otherwise(acc["out"]).alias("out"))
+        if kind.head:
+            size, at = iban_size(pair["m"]), start + kind.head
+            last = F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["e"], F.lit(0))
+            good = (size > 0) & (start >= last)
+        else:
+            size = F.length(pair["m"])
+            at, good = start + size, valid(kind.name, pair["m"])
+        one = F.struct(start.alias("s"), (start + size).alias("e"), pair["m"].alias("m")).cast(item)
+        return F.struct(at.alias("at"), F.when(good, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("g"), matches.alias("m")), lambda p: p["m"].isNotNull())
     found = F.aggregate(pairs, state, step, lambda acc: acc["out"])

@@ -147,6 +147,30 @@ def test_mask(spark):
     assert got[4].text == "iban DE88 3704 0044 0532 0130 00, born [BIRTH_DATE], ssn [SSN]"
 
 
+IBANS = [
+    ("IBAN DE89370400440532013000 The payment", ["DE89370400440532013000"]),
+    ("IBAN DE89 3704 0044 0532 0130 00 The payment", ["DE89 3704 0044 0532 0130 00"]),
+    ("account GB82WEST12345698765432 BIC NWBKGB2L", ["GB82WEST12345698765432"]),
+    ("account GB82 WEST 1234 5698 7654 32 123", ["GB82 WEST 1234 5698 7654 32"]),
+    ("é😀 IBAN DE89370400440532013000 GB82 WEST 1234 5698 7654 32, NO9386011117947 X",
+     ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"]),
+    ("REF AB12 DE89 3704 0044 0532 0130 00 AND MORE CAPITALS 12 34", ["DE89 3704 0044 0532 0130 00"]),
+    ("DE89370400440532013000", ["DE89370400440532013000"]),
+    ("IBAN DE88370400440532013000 The payment, XDE89370400440532013000, DE89370400440532013000x", []),
+    ("AB12 " * 3000 + "IBAN DE89370400440532013000 Z", ["DE89370400440532013000"]),
+    ("A" * 60_000 + " " + "AA11" * 15_000, []),
+]
+
+
+def test_iban_ends(spark):
+    """An IBAN is found whatever words follow it, and the words stay."""
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(IBANS)], "doc_id long, text string")
+    for r in pii.find(docs, [k for k in pii.KINDS if k.name == "iban"]).collect():
+        assert [r.text[x.start : x.end] for x in r.found] == IBANS[r.doc_id][1], r.text[:80]
+    got = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert got[1] == "IBAN [IBAN] The payment" and got[2] == "account [IBAN] BIC NWBKGB2L"
+
+
 def test_packing(spark, docs, given):
     from tokenizers import Tokenizer
 
