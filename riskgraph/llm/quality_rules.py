@@ -159,6 +159,31 @@ def keep_passing(docs: DataFrame, **limits) -> DataFrame:
     return keyed.join(failed, same(keyed, failed, {"doc_id": "_d", "_row": "_r"}), "left_anti").select(*docs.columns)
 
 
+def _without():
+    def rows(batch):
+        for d, text, gone in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            if gone:
+                gone = set(gone)
+                text = b"\n".join(x for x in text.split(b"\n") if not x.split() or _hash(normal_line(x)) not in gone)
+            yield d, text.decode()
+
+    return rows
+
+
+def remove_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """``doc_id, text`` of every row without the lines that :func:`judge` counts as removed; null texts are empty.
+
+    Rows repeated with id and text are one document: if the first with a line is among them, all keep it.
+    """
+    removed = judge(line_facts(docs), max_documents).groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(
+        F.collect_set(F.coalesce("removed_lines", F.array().cast("array<long>"))).alias("_sets"))
+    gone = removed.select("_d", "_r", F.aggregate("_sets", F.col("_sets")[0], F.array_intersect).alias("_gone")).filter(
+        F.size("_gone") > 0)
+    keyed = texts(docs, row_hash().alias("_row"))
+    joined = keyed.join(gone, same(keyed, gone, {"doc_id": "_d", "_row": "_r"}), "left").select("doc_id", "text", "_gone")
+    return per_row(joined, "doc_id long, text string", _without)
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass."""
     return keep_passing(docs)

@@ -311,6 +311,16 @@ def test_line_frequency_counts_documents(spark):
     assert sum(i >= 3000 for i in kept) == 200  # copies are one document
 
 
+def test_remove_lines(spark):
+    rows = [(i, f"own {i}\n\nSee  page {i} of us\nend {'abcdefgh'[i]}", "a") for i in range(8)]
+    rows += [rows[0], (20, "see page 7 of us\nrest", "b"), (21, None, "a"), (22, "only own", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    got = [(r.doc_id, r.text) for r in quality_rules.remove_lines(df, max_documents=5).collect()]
+    want = [(i, f"\nend {'abcdefgh'[i]}") for i in range(1, 8)]  # digits are one: "own 1" is "own 2"
+    want += [rows[0][:2]] * 2 + [rows[9][:2], (21, ""), (22, "only own")]
+    same_rows(got, want)
+
+
 def test_lm_base(spark, docs, given):
     given(lm_scoring, documents=docs)
     got = lm_scoring.op9_lm_scoring(spark, "").collect()
