@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskgraph.llm import decontaminate
+from riskgraph.llm.bpe import op13_bpe
 from riskgraph.llm.decontaminate import op5_decontaminate
 from riskgraph.llm.lm_scoring import op9_lm_scoring
 from riskgraph.llm.packing import op4_packing
@@ -16,5 +17,5 @@ from riskgraph.llm.url_filter import op10_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op4_packing, op5_decontaminate,
                               op6_toxicity, op7_quality_classifier, op8_quality_rules,
-                              op9_lm_scoring, op10_url_filter)}
+                              op9_lm_scoring, op10_url_filter, op13_bpe)}
 ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.SQL}
