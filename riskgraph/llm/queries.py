@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskgraph.llm import decontaminate
+from riskgraph.llm import decontaminate, vector_codes
 from riskgraph.llm.bpe import op13_bpe
 from riskgraph.llm.decontaminate import op5_decontaminate
 from riskgraph.llm.lm_scoring import op9_lm_scoring
@@ -14,8 +14,9 @@ from riskgraph.llm.secret_scan import op1_secret_scan
 from riskgraph.llm.simhash import op2_simhash
 from riskgraph.llm.toxicity import op6_toxicity
 from riskgraph.llm.url_filter import op10_url_filter
+from riskgraph.llm.vector_codes import op11_vector_codes
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_pii, op4_packing, op5_decontaminate,
                               op6_toxicity, op7_quality_classifier, op8_quality_rules,
-                              op9_lm_scoring, op10_url_filter, op13_bpe)}
-ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.SQL}
+                              op9_lm_scoring, op10_url_filter, op11_vector_codes, op13_bpe)}
+ORACLES: dict[str, str] = {"op5_decontaminate": decontaminate.SQL, "op11_vector_codes": vector_codes.SQL}
