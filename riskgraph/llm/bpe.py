@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from riskgraph.llm.common import read, texts, utf8
 
 LONG = 128
-CACHE = 256 << 20
+CACHE = 112 << 20
 GROUP = 4 << 20
 #: What a cached entry takes besides its bytes.
 ENTRY = 200
@@ -64,6 +64,17 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def tokens_of(path: str) -> list[bytes | None]:
+    """The token of every id, special ones too."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    named = [*((i, t) for t, i in spec["model"]["vocab"].items()), *((t["id"], t["content"]) for t in spec["added_tokens"])]
+    out: list[bytes | None] = [None] * (1 + max(i for i, _ in named))
+    for i, token in named:
+        out[i] = token.encode()
+    return out
+
+
 class Merges:
     """The merge table of a vocabulary file as sorted pair keys, and the rounds over it."""
 
@@ -78,9 +89,6 @@ class Merges:
         self.byte = np.array([vocab[s] for s in signs], np.int64)
         self.last = np.array([vocab[s + end] for s in signs], np.int64)
         self.size = 1 + max([*vocab.values(), *special.values()])
-        self.tokens: list[bytes | None] = [None] * self.size
-        for token, i in [*vocab.items(), *special.items()]:
-            self.tokens[i] = token.encode()
 
         pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
         rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(pairs)}
@@ -326,7 +334,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     encoded = encoded.select("doc_id", "n_tokens", "ids")
 
     def run(batches):
-        tokens = encoder(path).merges.tokens
+        tokens = tokens_of(path)
         for batch in batches:
             for first, group in _grouped(batch, "ids"):
                 yield pa.RecordBatch.from_arrays(
