@@ -2,12 +2,13 @@
 
 Texts are split into pieces at punctuation and line ends, pieces into words.  Every count is exact.
 
-1. A first map counts hashed words and word pairs in a table of buckets, one byte each.  A bucket
-   below the least count proves that none of its words or pairs is frequent, so pieces can be cut
-   there: an occurrence of a frequent phrase has only frequent words and pairs.  The table grows with the
-   input up to ``2**MOST_BITS`` buckets; what is broadcast is one bit a bucket, so at most 16 MB.
-   Beyond that the cut is merely less sharp, and the counts stay the same.
-2. A second map cuts the pieces, and adds up per task: the edges of the graph, phrases of ``longest``
+1. A first map counts hashed words and word pairs in a table of buckets, one byte each, a second one the
+   triples that these leave possible.  A bucket below the least count proves that nothing in it is
+   frequent, so pieces can be cut there: an occurrence of a frequent phrase has only frequent words,
+   pairs and triples.  The tables grow with the input up to ``2**MOST_BITS`` buckets; what is broadcast
+   is one bit a bucket, so at most 16 MB each.  Beyond that the cut is merely less sharp, and the
+   counts stay the same.
+2. A third map cuts the pieces, and adds up per task: the edges of the graph, phrases of ``longest``
    words that lead from the node of their first words to the node of their last words; and the ends,
    the last ``longest - 1`` words of each cut piece, or the whole of a shorter one; and single words.
 3. The sums over all tasks are the weighted graph (:func:`graph`).  Edges below the least count are no
@@ -110,7 +111,7 @@ def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
 
-def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     x = left * np.uint64(0x9E3779B97F4A7C15) + right
     x ^= x >> np.uint64(32)
     return x * np.uint64(0xD6E8FEB86659FD93)
@@ -123,22 +124,50 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
 # --- buckets -------------------------------------------------------------------------------------
 
 
-def frequent_buckets(docs: DataFrame, bits: int, least: int) -> np.ndarray:
-    """One bit per bucket: whether its words and pairs together reach ``least``."""
+def _is_frequent(table: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return (table[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _pairs(h, a, table, bits) -> tuple[np.ndarray, np.ndarray]:
+    """``fine`` words, and ``link[i]``: places i and i + 1 are a pair that can be frequent."""
+    fine = _is_frequent(table, _bucket(h, bits))
+    fine[:2] = False
+    link = np.zeros(len(a), bool)
+    both = np.flatnonzero(fine[a[:-1]] & fine[a[1:]])
+    link[both] = _is_frequent(table, _bucket(_mix(h[a[both]], h[a[both + 1]]), bits))
+    return fine, link
+
+
+def _triples(h, a, link) -> tuple[np.ndarray, np.ndarray]:
+    """Places that begin two links, and the hashes of their three words."""
+    at = np.flatnonzero(link[:-1] & link[1:])
+    return at, _mix(_mix(h[a[at]], h[a[at + 1]]), h[a[at + 2]])
+
+
+def frequent_buckets(docs: DataFrame, bits: int, least: int, pairs: np.ndarray | None = None) -> np.ndarray:
+    """One bit per bucket: whether what falls into it reaches ``least``.
+
+    At first words and pairs; with the table of those, the triples that they leave possible.
+    """
     kind = np.uint8 if least < 256 else np.uint32
+    shared = docs.sparkSession.sparkContext.broadcast(pairs)
 
     def count(batches):
-        table = np.zeros(1 << bits, kind)
+        known, table = shared.value, np.zeros(1 << bits, kind)
 
         def add(buckets, counts):
             table[buckets] = np.minimum(table[buckets] + counts.astype(np.int64), least).astype(kind)
 
         for lang, words, a in _blocks(batches):
             h = _hashes(lang, words)
-            own, of = np.unique(_bucket(h[2:], bits), return_inverse=True)
-            add(own, np.bincount(of, np.bincount(a, minlength=len(words))[2:], len(own)))
-            both = np.flatnonzero((a[:-1] > 1) & (a[1:] > 1))
-            add(*np.unique(_bucket(_pair(h[a[both]], h[a[both + 1]]), bits), return_counts=True))
+            if known is None:
+                own, of = np.unique(_bucket(h[2:], bits), return_inverse=True)
+                add(own, np.bincount(of, np.bincount(a, minlength=len(words))[2:], len(own)))
+                both = np.flatnonzero((a[:-1] > 1) & (a[1:] > 1))
+                hashes = _mix(h[a[both]], h[a[both + 1]])
+            else:
+                hashes = _triples(h, a, _pairs(h, a, known, bits)[1])[1]
+            add(*np.unique(_bucket(hashes, bits), return_counts=True))
         step = min(CHUNK, len(table))
         for k in range(len(table) // step):
             part = table[k * step : (k + 1) * step]
@@ -166,10 +195,6 @@ def frequent_buckets(docs: DataFrame, bits: int, least: int) -> np.ndarray:
     return out
 
 
-def _is_frequent(table: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    return (table[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 # --- the graph -----------------------------------------------------------------------------------
 
 
@@ -183,32 +208,24 @@ def _distinct(a: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray,
     return starts[first], counts
 
 
-def graph(docs: DataFrame, table: np.ndarray, bits: int, longest: int = LONGEST) -> DataFrame:
+def graph(docs: DataFrame, pairs: np.ndarray, triples: np.ndarray, bits: int, longest: int = LONGEST) -> DataFrame:
     """``lang, size, gram, n``: edges (``size`` words = ``longest``), ends (2 to ``longest - 1``),
     single words (1), and all words of the language (0, without a gram)."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast((pairs, triples))
 
     def gather(batches):
-        table = shared.value
+        pairs, triples = shared.value
         for lang, words, a in _blocks(batches):
             h = _hashes(lang, words)
-            real = a > 1
+            fine, link = _pairs(h, a, pairs, bits)
+            at, hashes = _triples(h, a, link)
+            on = np.zeros(len(a), bool)  # on[i]: the pair at i goes on to the pair at i + 1
+            on[at[_is_frequent(triples, _bucket(hashes, bits))]] = True
             counts = np.bincount(a, minlength=len(words))
-            fine = _is_frequent(table, _bucket(h, bits))
-            fine[:2] = False
-            yield from _rows(lang, 0, [b""], [int(real.sum())])
+            yield from _rows(lang, 0, [b""], [int(counts[2:].sum())])
             own = np.flatnonzero(fine & (counts > 0))
             yield from _rows(lang, 1, [words[i] for i in own.tolist()], counts[own])
-
-            link = np.zeros(len(a) + 1, bool)  # link[i]: place i goes on to place i + 1
-            both = np.flatnonzero(fine[a[:-1]] & fine[a[1:]])
-            link[both] = _is_frequent(table, _bucket(_pair(h[a[both]], h[a[both + 1]]), bits))
-            link = link[: len(a)]
-            run, edges = link.copy(), {}
-            for j in range(2, longest + 1):
-                edges[j] = run
-                run = run & np.append(link[j - 1 :], np.zeros(min(j - 1, len(link)), bool))[: len(link)]
-            for size, starts in [(longest, np.flatnonzero(edges[longest])), *_ends(link, longest)]:
+            for size, starts in _runs(link, on, longest):
                 if len(starts):
                     places, n = _distinct(a, starts, size)
                     for k in range(0, len(places), ROWS):
@@ -219,17 +236,25 @@ def graph(docs: DataFrame, table: np.ndarray, bits: int, longest: int = LONGEST)
     return rows.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
-def _ends(link: np.ndarray, longest: int):
-    """``(size, starts)``: where the last words of cut pieces of two words or more begin."""
-    last = np.flatnonzero(~link & np.append(False, link[:-1]))
-    back = np.ones(len(last), np.int64)  # words before the last one, as far as they matter
-    for j in range(2, longest - 1):
-        before = last - j
-        back += (back == j - 1) & (before >= 0) & link[np.maximum(before, 0)]
-    if longest == 2:  # no node holds two words
+def _runs(link: np.ndarray, on: np.ndarray, longest: int):
+    """``(size, starts)`` of the edges, and of the last words of every cut piece of two words or more.
+
+    A cut piece is a run of pairs that go on; where a pair does not, the next piece begins with its
+    second word, so every pair lies in one piece.
+    """
+    edge = link.copy()
+    for j in range(longest - 2):
+        edge &= np.append(on[j:], np.zeros(min(j, len(on)), bool))
+    yield longest, np.flatnonzero(edge)
+    if longest == 2:  # the nodes are single words
         return
-    for size in range(2, longest):
-        yield size, last[back == size - 1] - (size - 1)
+    last = np.flatnonzero(link & ~on)  # where the last pair begins
+    back = np.zeros(len(last), np.int64)  # words before it, as far as they matter
+    for j in range(1, longest - 2):
+        before = last - j
+        back += (back == j - 1) & (before >= 0) & on[np.maximum(before, 0)]
+    for more in range(longest - 2):
+        yield 2 + more, last[back == more] - more
 
 
 def _rows(lang: str, size: int, grams: list[bytes], n):
@@ -316,7 +341,9 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: i
     if bits is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
         bits = min(max(int(np.ceil(np.log2(max(size / BYTES_PER_BUCKET, 1)))), FEWEST_BITS), MOST_BITS)
-    grams = cut(graph(docs, frequent_buckets(docs, bits, least), bits, longest), "grams")
+    pairs = frequent_buckets(docs, bits, least)
+    triples = frequent_buckets(docs, bits, least, pairs)
+    grams = cut(graph(docs, pairs, triples, bits, longest), "grams")
     ends = stops(grams, least, longest)
     whole = grams.filter((F.col("size") == longest) & (F.col("n") >= least))
     phrases = [grams.filter((F.col("size") == 1) & (F.col("n") >= least)), whole]
