@@ -54,6 +54,8 @@ FEWEST_BITS, MOST_BITS, BYTES_PER_BUCKET = 16, 27, 64
 CHUNK = 1 << 14
 #: Words, and different words, that a task holds before it adds them up.
 TOKENS, VOCABULARY = 3_000_000, 400_000
+#: Different phrases that a task adds up before it sends them on.
+HELD = 600_000
 STRETCH = 4096
 ROWS = 50_000
 
@@ -215,6 +217,7 @@ def graph(docs: DataFrame, pairs: np.ndarray, triples: np.ndarray, bits: int, lo
 
     def gather(batches):
         pairs, triples = shared.value
+        sums = Sums()
         for lang, words, a in _blocks(batches):
             h = _hashes(lang, words)
             fine, link = _pairs(h, a, pairs, bits)
@@ -222,15 +225,16 @@ def graph(docs: DataFrame, pairs: np.ndarray, triples: np.ndarray, bits: int, lo
             on = np.zeros(len(a), bool)  # on[i]: the pair at i goes on to the pair at i + 1
             on[at[_is_frequent(triples, _bucket(hashes, bits))]] = True
             counts = np.bincount(a, minlength=len(words))
-            yield from _rows(lang, 0, [b""], [int(counts[2:].sum())])
+            yield from sums.add(lang, 0, [b""], [int(counts[2:].sum())])
             own = np.flatnonzero(fine & (counts > 0))
-            yield from _rows(lang, 1, [words[i] for i in own.tolist()], counts[own])
+            yield from sums.add(lang, 1, [words[i] for i in own.tolist()], counts[own].tolist())
             for size, starts in _runs(link, on, longest):
                 if len(starts):
                     places, n = _distinct(a, starts, size)
                     for k in range(0, len(places), ROWS):
                         grams = a[places[k : k + ROWS, None] + np.arange(size)].tolist()
-                        yield from _rows(lang, size, [b" ".join([words[i] for i in g]) for g in grams], n[k : k + ROWS])
+                        yield from sums.add(lang, size, [b" ".join([words[i] for i in g]) for g in grams], n[k : k + ROWS].tolist())
+        yield from sums.flush()
 
     rows = docs.mapInArrow(gather, "lang string, size int, gram string, n long")
     return rows.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
@@ -257,13 +261,32 @@ def _runs(link: np.ndarray, on: np.ndarray, longest: int):
         yield 2 + more, last[back == more] - more
 
 
-def _rows(lang: str, size: int, grams: list[bytes], n):
-    for k in range(0, len(grams), ROWS):
-        some = grams[k : k + ROWS]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([lang] * len(some), pa.string()), pa.array([size] * len(some), pa.int32()),
-            pa.array(some, pa.binary()).cast(pa.string()), pa.array(n[k : k + ROWS], pa.int64()),
-        ], names=["lang", "size", "gram", "n"])
+class Sums:
+    """Counts of a task over all its blocks, sent on when there are ``HELD`` of them."""
+
+    def __init__(self):
+        self.of: dict[tuple[str, int], dict[bytes, int]] = {}
+        self.held = 0
+
+    def add(self, lang: str, size: int, grams: list[bytes], counts: list[int]):
+        known = self.of.setdefault((lang, size), {})
+        before = len(known)
+        for g, n in zip(grams, counts, strict=True):
+            known[g] = known.get(g, 0) + n
+        self.held += len(known) - before
+        if self.held > HELD:
+            yield from self.flush()
+
+    def flush(self):
+        for (lang, size), known in self.of.items():
+            grams, counts = list(known), list(known.values())
+            for k in range(0, len(grams), ROWS):
+                some = grams[k : k + ROWS]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(some), pa.string()), pa.array([size] * len(some), pa.int32()),
+                    pa.array(some, pa.binary()).cast(pa.string()), pa.array(counts[k : k + ROWS], pa.int64()),
+                ], names=["lang", "size", "gram", "n"])
+        self.of, self.held = {}, 0
 
 
 def _first(gram: str | Column, k: int | Column) -> Column:

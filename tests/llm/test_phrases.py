@@ -81,6 +81,7 @@ def test_counts_do_not_depend_on_the_buckets(spark, bits):
 def test_blocks_partitions_and_stretches_do_not_show(spark, monkeypatch):
     monkeypatch.setattr(ph, "TOKENS", 50)
     monkeypatch.setattr(ph, "STRETCH", 7)
+    monkeypatch.setattr(ph, "HELD", 40)
     rows = made(4, 60, 5, 90)
     for n in (1, 5):
         assert run(frame(spark, rows).repartition(n), least=6, top=9, cover=80) == plain(rows, 6, 5, 9, 80)
