@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("temporal", "entity", "clean", "quality", "drift", "evidence", "graph", "pipelines")
+FAMILIES = ("temporal", "entity", "clean", "quality", "drift", "evidence", "graph", "hubs", "pipelines")
 
 
 def load():

@@ -9,6 +9,7 @@ from riskgraph.functions.quantiles import quantiles
 from riskgraph.operators import evidence as V
 from riskgraph.operators import rules as R
 from riskgraph.operators.graph import knn as K
+from riskgraph.operators.graph.hubs import hub_index, neighbour_counts
 from riskgraph.plans.asof import asof_join
 from riskgraph.plans.lineage import cut
 from riskgraph.queries.registry import query, rounded, rsql
@@ -104,7 +105,9 @@ def velocity_evidence(spark, sf_dir):
 
 _NB_SQL = HIST_SQL + """,
 dev AS (SELECT DISTINCT card1, "DeviceInfo" AS d FROM tx WHERE "DeviceInfo" IS NOT NULL),
-nb AS (SELECT a.card1, count(DISTINCT b.card1) AS nn FROM dev a JOIN dev b ON a.d = b.d AND a.card1 <> b.card1 GROUP BY 1),
+d1 AS (SELECT DISTINCT a.card1 AS s, b.card1 FROM dev a JOIN dev b ON a.d = b.d),
+d2 AS (SELECT DISTINCT s, d FROM d1 JOIN dev USING (card1)),
+nb AS (SELECT s AS card1, count(DISTINCT dev.card1) AS nn FROM d2 JOIN dev USING (d) WHERE dev.card1 <> s GROUP BY 1),
 ev AS (SELECT al.alert_id, al."TransactionID", al.card1, fraud_score AS s, risk_level, "DeviceType", "P_emaildomain",
     id_02, "ProductCD", n, total, total / n AS av, mx, nf / n::double AS fr, vel, n1 AS v1, n30 / 720.0::double AS bl,
     coalesce(nn, 0) AS nn
@@ -113,20 +116,18 @@ ev AS (SELECT al.alert_id, al."TransactionID", al.card1, fraud_score AS s, risk_
 
 
 def evidence_frame(spark, sf_dir):
-    """History, velocity and peer counts of every alert."""
-    from riskgraph.operators.graph.build import peer_cards
-
+    """History, velocity, and cards within two hops by shared devices, of every alert."""
     # History, velocity, peers and details all read these columns, so they are written once.
     tx = cut(transactions(spark, sf_dir).select(
         "TransactionID", "TransactionDT", "TransactionAmt", "card1", "isFraud", "fraud_score", "addr1", "addr2",
         "DeviceType", "DeviceInfo", "P_emaildomain", "id_02", "ProductCD"), "evidence")
     al = cut(V.alerts_from(tx, threshold=AT), "alerts")
-    peers = peer_cards(tx, ("device_info",), limit=None).groupBy("card").agg(
-        F.count(F.lit(1)).alias("n_unique_neighbors"))
+    index = hub_index(tx.select(F.col("DeviceInfo").alias("key"), F.col("card1").alias("member")))
+    peers = neighbour_counts(al.select(F.col("card1").alias("member")), index)
     extra = tx.select(F.col("TransactionID").alias("_t"), "DeviceType", "P_emaildomain", "id_02", "ProductCD")
     return (
         al.join(V.card_history(al, tx), "alert_id", "left").join(V.velocity(al, tx), "alert_id", "left")
-        .join(peers, al["card1"] == peers["card"], "left").drop("card")
+        .join(peers, al["card1"] == peers["member"], "left").drop("member")
         .join(extra, F.col("TransactionID") == F.col("_t"), "left").drop("_t"))
 
 

@@ -24,6 +24,7 @@ from riskgraph.sources.tables import (
     RAW_SQL, TX_SQL, identity, raw_transactions, table, transaction_columns, transactions,
 )
 from riskgraph.streaming import alerts as A
+from riskgraph.streaming import processors as PR
 from riskgraph.streaming import stateful as ST
 
 # -- models ---------------------------------------------------------------------------------------
@@ -365,6 +366,57 @@ def ttl_cache(spark, sf_dir):
     return rounded(ST.cache_snapshot(u, now, DAY).select("key", "ts"))
 
 
+def _dealt(spark, df, time: str, jitter: int, files: int = 5):
+    """``df`` as files of about equal time, in order but for rows that come up to ``jitter`` seconds late."""
+    at = F.col(time) + F.pmod(F.xxhash64(F.col(df.columns[0])), F.lit(jitter))
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    step = max(1, -(-(high - low + jitter + 1) // files))
+    df, path = cut(df.withColumn("_file", F.floor((at - low) / step)), "dealt"), new_path(spark, "shuffled")
+    for i in range(files):
+        df.filter(F.col("_file") == i).drop("_file").write.mode("append").parquet(path)
+    return A.file_source(spark, path, df.drop("_file").schema, files_per_trigger=max(1, spark.sparkContext.defaultParallelism))
+
+
+LATE = 2 * HOUR
+
+
+@query("stream_ordered_card_features", f"""WITH {TX_SQL} {_causal_sql("tx")}
+SELECT "TransactionID", coalesce(gap0, 0) AS gap, {_card_n(HOUR)} AS n_3600s, {_card_n(DAY)} AS n_86400s,
+  {rsql(CARD_COLS, 3)} FROM gaps {WINDOW_SQL}
+QUALIFY ("TransactionDT" // 60 + 1) * 60 <= (SELECT max("TransactionDT") FROM tx) - {LATE}""")
+def stream_ordered_card_features(spark, sf_dir):
+    """Rows in any order up to two hours late, over several micro-batches: equal to the batch windows
+    for all rows that the watermark has passed when the input ends."""
+    tx = transactions(spark, sf_dir).select("TransactionID", "TransactionDT", "TransactionAmt", "card1")
+    s = _dealt(spark, tx, "TransactionDT", LATE).withColumn("event_ts", F.timestamp_seconds("TransactionDT"))
+    with PR.state_store(spark):
+        out = _collect(spark, PR.ordered_card_features(s, delay=f"{LATE} seconds"), "ordered")
+    return rounded(out.drop("card1", "TransactionDT"), 3)
+
+
+@query("stream_cache", f"""WITH {TX_SQL}, w AS (SELECT card1 AS key, min("TransactionDT") + 3600 AS expires FROM tx GROUP BY 1),
+s AS (SELECT a."TransactionID" AS request, a.card1 AS key, a."TransactionDT" AS ts, max(b."TransactionDT") AS last
+  FROM tx a LEFT JOIN tx b ON a.card1 = b.card1 AND (b."TransactionDT" < a."TransactionDT" OR (b."TransactionDT" = a."TransactionDT" AND b."TransactionID" < a."TransactionID"))
+  GROUP BY 1, 2, 3)
+SELECT request, s.key, ts, ts <= greatest(coalesce(last, 0) + {DAY}, expires) AS hit,
+  CASE WHEN ts <= greatest(coalesce(last, 0) + {DAY}, expires) THEN CASE WHEN last IS NULL THEN -1 ELSE last END END AS value
+FROM s JOIN w ON s.key = w.key""")
+def stream_cache(spark, sf_dir):
+    """Every transaction reads its card's entry, then writes its own time for a day; the cache begins
+    with an entry of each card that ends an hour after the card's first row."""
+    tx = transactions(spark, sf_dir)
+    one = [F.col("card1").alias("key"), F.col("TransactionDT").alias("ts")]
+    reads = tx.select((2 * F.col("TransactionID")).alias("request"), *one, F.lit("get").alias("op"), F.lit(None).cast("double").alias("value"))
+    writes = tx.select((2 * F.col("TransactionID") + 1).alias("request"), *one, F.lit("set").alias("op"), F.col("TransactionDT").cast("double").alias("value"))
+    both = reads.unionByName(writes).withColumn("ttl", F.lit(None).cast("long"))
+    warm = tx.groupBy(F.col("card1").alias("key")).agg((F.min("TransactionDT") + HOUR).alias("expires")).withColumn("value", F.lit(-1.0))
+    s = _dealt(spark, both, "ts", 1).withColumn("event_ts", F.timestamp_seconds("ts"))
+    with PR.state_store(spark):
+        out = _collect(spark, PR.cache_stream(s, ttl=DAY, warm=cut(warm, "warm")), "cache")
+    return out.select((F.col("request") / 2).cast("bigint").alias("request"), "key", "ts", (F.col("status") == "hit").alias("hit"),
+                      F.col("value").cast("bigint").alias("value"))
+
+
 @query("stream_replay", f"""WITH {TX_SQL} SELECT count(*) AS n, {rsql({"total": 'sum("TransactionAmt")'}, 2)} FROM tx""")
 def stream_replay(spark, sf_dir):
     """The table cut into files and replayed one file per trigger."""
