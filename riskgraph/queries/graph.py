@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskgraph.operators.graph import build as B
 from riskgraph.operators.graph import components as C
 from riskgraph.operators.graph import features as G
+from riskgraph.operators.graph import ivf as I
 from riskgraph.operators.graph import knn as K
 from riskgraph.operators.graph import paths as P
 from riskgraph.operators.graph import rings as R
@@ -340,6 +341,31 @@ def similar_cases(spark, sf_dir):
     return rounded(K.with_similarity(m), 8)
 
 
+_CASES = dict(query_id="vec_id", query_vec="embedding", skip_self=True)
+
+
+@query("ivf_all_cells", """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS case_id,
+  round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 12) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, case_id) AS rank FROM p)
+SELECT query_id, case_id, rank, """ + rsql({"cosine": "c"}, 8) + """ FROM r WHERE rank <= 3""")
+def ivf_all_cells(spark, sf_dir):
+    """The inverted file with every cell probed: the exact answer."""
+    e = table(spark, sf_dir, "embeddings")
+    index = I.fit_ivf(e, case_id="vec_id", case_vec="embedding", probes=I.MOST_CELLS)
+    return rounded(I.search(e, index, k=3, **_CASES), 8)
+
+
+@query("ivf_recall", "SELECT count(*) AS n_queries, true AS reached FROM embeddings")
+def ivf_recall(spark, sf_dir):
+    """Whether the tuned index finds nine tenths of the exact three nearest, over all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    index = I.tune(I.fit_ivf(e, case_id="vec_id", case_vec="embedding"), e, target=0.92, on=1000, **_CASES)
+    exact = K.similar_cases(e, e, k=3, case_id="vec_id", case_vec="embedding", **_CASES)
+    found = I.search(e, index, k=3, **_CASES).select("query_id", "case_id", F.lit(1).alias("hit"))
+    j = exact.join(found, ["query_id", "case_id"], "left")
+    return j.agg(F.count_distinct("query_id").alias("n_queries"), (F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("reached"))
+
+
 @query("embedding_lookup", """SELECT e.event_id, v.vec_id IS NULL AS is_cold,
   coalesce(round(cast(v.embedding[1] AS double), 6), 0) + 0.0::double AS first,
   64::bigint AS n FROM events e LEFT JOIN embeddings v ON e.user_id = v.vec_id""")
