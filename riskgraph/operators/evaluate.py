@@ -28,6 +28,12 @@ def curve(df: DataFrame, score: str, label: str, keys=(), *, min_rows: int = MIN
     per = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(
         *keys, F.col(score).cast("double").alias("score")
     ).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    return curve_of_counts(per, keys, min_rows=min_rows)
+
+
+def curve_of_counts(per: DataFrame, keys=(), *, min_rows: int = MIN_ROWS) -> DataFrame:
+    """:func:`curve` from ``score, n, pos``, one row per distinct score (and key)."""
+    keys = list(keys)
     per = per.withColumn("_down", -F.col("score"))
     r = running_sums(per, keys, "_down", {"n_at": F.col("n"), "tp": F.col("pos")},
                      min_rows=min_rows, totals=True)

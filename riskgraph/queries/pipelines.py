@@ -16,6 +16,7 @@ from riskgraph.operators.temporal import card_causal, fit_temporal
 from riskgraph.plans.lineage import cut, new_path
 from riskgraph.queries.drift import CAT, NUM
 from riskgraph.queries.entity import _ENTITY_SQL
+from riskgraph.queries.quality import _REC, _records, _snap_sql
 from riskgraph.queries.registry import query, rounded, rsql
 from riskgraph.queries.temporal import _TEMPORAL_SQL, CARD_COLS, WINDOW_SQL, _card_n, _causal_sql
 from riskgraph.schema import AMOUNT_FEATURES, DAY, HOUR, TEMPORAL_FEATURES
@@ -26,6 +27,7 @@ from riskgraph.sources.tables import (
 from riskgraph.streaming import alerts as A
 from riskgraph.streaming import processors as PR
 from riskgraph.streaming import stateful as ST
+from riskgraph.streaming.rolling import RollingQuality
 
 # -- models ---------------------------------------------------------------------------------------
 
@@ -417,6 +419,21 @@ def stream_cache(spark, sf_dir):
                       F.col("value").cast("bigint").alias("value"))
 
 
+_WEEK = ("n_total", "n_labelled", "n_positive", "tp", "fp", "fn", "tn", "precision", "recall", "brier", "auroc", "auprc")
+
+
+@query("stream_rolling_quality", f"""SELECT {", ".join(_WEEK)} FROM (WITH {_REC}, win AS (
+  SELECT * FROM rec WHERE t // {DAY} > (SELECT max(t) // {DAY} FROM rec) - 7) {_snap_sql('win')})""")
+def stream_rolling_quality(spark, sf_dir):
+    """The last seven days, areas included, as the histogram stands after the last of several batches."""
+    rec = _records(spark, sf_dir).withColumn("at", F.unix_timestamp("ts")).select("transaction_id", "score", "label", "ts", "at")
+    roll = RollingQuality(spark, new_path(spark, "rolling"))
+    A.run_to_end(A.fan_out(_dealt(spark, rec, "at", HOUR), [roll], new_path(spark, "rolling-chk")))
+    done = roll.results()
+    last = done.agg(F.max("batch_id")).first()[0]
+    return rounded(done.filter(F.col("batch_id") == last).select(*_WEEK), 8)
+
+
 @query("stream_replay", f"""WITH {TX_SQL} SELECT count(*) AS n, {rsql({"total": 'sum("TransactionAmt")'}, 2)} FROM tx""")
 def stream_replay(spark, sf_dir):
     """The table cut into files and replayed one file per trigger."""
