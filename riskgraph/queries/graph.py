@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskgraph.operators.graph import build as B
 from riskgraph.operators.graph import components as C
+from riskgraph.operators.graph import cores as H
 from riskgraph.operators.graph import features as G
 from riskgraph.operators.graph import ivf as I
 from riskgraph.operators.graph import knn as K
@@ -157,6 +158,19 @@ def ring_cliques(spark, sf_dir):
     return rounded(R.rings(*_device_projection(spark, sf_dir), mode="cliques"))
 
 
+_CORES = """
+h0 AS (SELECT a AS id, count(*) AS c FROM sp GROUP BY 1)""" + "".join(f""",
+h{i} AS MATERIALIZED (SELECT sp.a AS id, len(list_filter(list_sort(list(h.c), 'DESC'), lambda x, j: x >= j)) AS c
+  FROM sp JOIN h{i - 1} h ON sp.b = h.id GROUP BY 1)""" for i in range(1, 25))
+
+
+@query("core_numbers", f"""WITH {HK_SQL}, {_CORES} SELECT cards.id, coalesce(c, 0)::bigint AS core, (coalesce(c, 0) >= 3)::bigint AS ring_member
+FROM cards LEFT JOIN h24 USING (id)""")
+def core_numbers(spark, sf_dir):
+    """Core number of every card, and whether it stands in a core of three."""
+    return rounded(H.core_members(*_device_projection(spark, sf_dir), k=3))
+
+
 _AL = f"""sa AS (SELECT DISTINCT cast(card1 AS varchar) AS id FROM tx WHERE fraud_score >= {AT})"""
 
 
