@@ -1,4 +1,4 @@
-"""Drift between the first and the last 40 % of the time line."""
+"""Drift between the earlier and the later half of the time line."""
 
 from __future__ import annotations
 
@@ -13,9 +13,8 @@ NUM = ("TransactionAmt", "V307", "C1", "id_02", "fraud_score")
 CAT = ("ProductCD", "DeviceType", "P_emaildomain")
 
 _SIDES = TX_SQL + """,
-b AS (SELECT quantile_cont("TransactionDT", 0.4) AS lo, quantile_cont("TransactionDT", 0.6) AS hi FROM tx),
-sides AS (SELECT tx.*, CASE WHEN "TransactionDT" <= lo THEN 0 ELSE 1 END AS side FROM tx CROSS JOIN b
-          WHERE "TransactionDT" <= lo OR "TransactionDT" >= hi)
+b AS (SELECT quantile_cont("TransactionDT", 0.5) AS mid FROM tx),
+sides AS (SELECT tx.*, CASE WHEN "TransactionDT" <= mid THEN 0 ELSE 1 END AS side FROM tx CROSS JOIN b)
 """
 _NUM_LONG = "nl AS (" + " UNION ALL ".join(
     f"""SELECT '{f}' AS feature, side, cast("{f}" AS double) AS v FROM sides WHERE "{f}" IS NOT NULL"""
@@ -77,9 +76,9 @@ cpsi AS (SELECT feature, sum((q - p) * ln(q / p)) AS psi, sum((c - ex) ** 2 / ex
 
 def _split(spark, sf_dir):
     tx = transactions(spark, sf_dir).select("TransactionDT", "isFraud", *NUM, *CAT)
-    lo, hi = quantile_list(tx, "TransactionDT", [0.4, 0.6])
+    mid = quantile_list(tx, "TransactionDT", [0.5])[0]
     t = F.col("TransactionDT")
-    return tx.filter(t <= lo), tx.filter(t >= hi)
+    return tx.filter(t <= mid), tx.filter(t > mid)
 
 
 @query("numeric_psi", f"WITH {_SIDES}, {_psi_ctes(10)} SELECT feature, {rsql({'psi': 'psi'}, 8)} FROM psi")

@@ -14,7 +14,7 @@ from riskgraph.operators.clean import CleanModel, fit_clean
 from riskgraph.operators.entity import fit_entity
 from riskgraph.operators.temporal import card_causal, fit_temporal
 from riskgraph.plans.lineage import cut, new_path
-from riskgraph.queries.drift import CAT, NUM
+from riskgraph.queries.drift import _REPORT, _SEV, CAT, NUM
 from riskgraph.queries.entity import _ENTITY_SQL
 from riskgraph.queries.quality import _REC, _records, _snap_sql
 from riskgraph.queries.registry import query, rounded, rsql
@@ -188,7 +188,7 @@ def state_round_trip(spark, sf_dir):
     return rounded(m.transform(raw).select("TransactionID", "addr1"))
 
 
-@query("drift_report_sink")
+@query("drift_report_sink", f"""WITH {_REPORT} SELECT feature, kind, {rsql({"psi": "psi"})}, {_SEV.format("psi")} AS severity FROM rep""")
 def drift_report_sink(spark, sf_dir):
     """JSON report of later against earlier rows, read back."""
     tx = transactions(spark, sf_dir).select("TransactionDT", *NUM, *CAT)
