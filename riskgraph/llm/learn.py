@@ -26,7 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     chosen = given.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < share).groupBy("_id").agg(F.max("y").alias("y"))
     chosen = cut(chosen, "labels")
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return cut(texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"]).select("doc_id", "text", "y"), "sample")
+    found = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"])
+    return cut(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"), "sample")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> np.ndarray:

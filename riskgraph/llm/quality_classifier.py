@@ -112,7 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
     kept = [r for r, a in zip(rows, apart, strict=True) if not a]
     ratio = log_ratios(kept, y[~apart])
     w, bias = descend(kept, y[~apart], ratio)
-    w = ((1 - MIX) * np.abs(w[w != 0]).mean() + MIX * w) * ratio
+    used = np.abs(w[w != 0])
+    w = ((1 - MIX) * (used.mean() if len(used) else 0.0) + MIX * w) * ratio
     told = rows if not apart.any() else [r for r, a in zip(rows, apart, strict=True) if a]
     margin = np.array([margin_of(r, w, bias) for r in told])
     spread = margin.std() or 1.0
