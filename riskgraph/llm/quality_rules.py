@@ -2,8 +2,8 @@
 
 A line is normalised (A-Z small, digits to 0, white space to single spaces) and hashed.  Per host
 (``source``) the documents that carry a line are counted; a line above ``max_documents`` is
-boilerplate and counts as removed, except in the first document that has it.  A document is
-depleted, and rejected, when less than ``min_share`` of its words or fewer than ``min_left``
+boilerplate and counts as removed, except in the first document that has it: the one with the smallest
+id (null last), of an id's several texts one by their hash, whatever the partitions of the input.  A document is depleted, and rejected, when less than ``min_share`` of its words or fewer than ``min_left``
 words would remain.
 
 Copies of one text are not different documents, so what is counted are distinct hashes of the whole
@@ -12,7 +12,9 @@ aggregation, so a hot host or line is only a sum; the few lines above the limit
 lines on a salted key.
 
 Edge cases: null and empty texts have no words and fail the word rules; a null host is the host of
-the empty name; repeated rows are judged alike and count as one document.
+the empty name; rows repeated with id, text and host are judged alike and count as one document, also
+where that one keeps the line; texts of any length are measured whole; a line as often as the limit
+(a tie) is not above it; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -114,12 +116,21 @@ def line_facts(docs: DataFrame, host: str = "source") -> DataFrame:
     return cut(per_row(keyed, FACTS, _facts), "line_facts")
 
 
+def _place():
+    """Order of documents as one number, so that its minimum combines before the shuffle: id, then hash."""
+    number = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(20,0)") * F.lit(1 << 40).cast("decimal(13,0)")
+    return number + F.pmod("row", F.lit(1 << 40)).cast("decimal(13,0)")
+
+
 def frequent_lines(facts: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """``host, h, documents, first``: lines in more than ``max_documents`` different texts of a host."""
-    lines = facts.select("host", "digest", "key", F.explode("lines.h").alias("h"))
-    by_text = lines.groupBy("host", "h", "digest").agg(F.min("key").alias("key"))
+    """``host, h, documents, first``: lines in more than ``max_documents`` different texts of a host.
+
+    ``first`` is the :func:`_place` of the document that keeps the line.
+    """
+    lines = facts.select("host", "digest", _place().alias("place"), F.explode("lines.h").alias("h"))
+    by_text = lines.groupBy("host", "h", "digest").agg(F.min("place").alias("place"))
     return by_text.groupBy("host", "h").agg(
-        F.count(F.lit(1)).alias("documents"), F.min("key").alias("first")
+        F.count(F.lit(1)).alias("documents"), F.min("place").alias("first")
     ).filter(F.col("documents") > max_documents)
 
 
@@ -132,9 +143,9 @@ def judge(facts: DataFrame, max_documents: int = MAX_DOCUMENTS, min_share: float
     """Facts with ``removed_words``, ``base_failed`` and ``kept``."""
     frequent = frequent_lines(facts, max_documents).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lines = facts.select("host", "key", F.explode("lines").alias("l")).select(
-        "host", "key", F.col("l.h").alias("h"), F.col("l.n").alias("n"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
-    removed = lines.join(frequent, ["host", "h", "salt"]).filter(F.col("key") != F.col("first")).groupBy(
+    lines = facts.select("host", "key", _place().alias("place"), F.explode("lines").alias("l")).select(
+        "host", "key", "place", F.col("l.h").alias("h"), F.col("l.n").alias("n"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
+    removed = lines.join(frequent, ["host", "h", "salt"]).filter(F.col("place") != F.col("first")).groupBy(
         F.col("key").alias("_key")).agg(
             F.sum("n").alias("removed_words"), F.collect_list("h").alias("removed_lines"))
     out = facts.join(removed, facts["key"] == removed["_key"], "left").drop("_key").withColumn(
@@ -151,7 +162,7 @@ def op8_quality_rules(spark, sf_dir) -> DataFrame:
 
 
 def keep_passing(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass; of repeated rows all stay if one passes."""
+    """The rows of ``docs``, all columns, that pass; of rows alike in id and text all stay if one host passes them."""
     judged = judge(line_facts(docs), **limits)
     failed = judged.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(
         F.max("kept").alias("_any")).filter(~F.col("_any")).drop("_any")
@@ -173,7 +184,7 @@ def _without():
 def remove_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """``doc_id, text`` of every row without the lines that :func:`judge` counts as removed; null texts are empty.
 
-    Rows repeated with id and text are one document: if the first with a line is among them, all keep it.
+    Rows repeated with id and text are one document: what any of their hosts keeps, all keep.
     """
     removed = judge(line_facts(docs), max_documents).groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(
         F.collect_set(F.coalesce("removed_lines", F.array().cast("array<long>"))).alias("_sets"))
