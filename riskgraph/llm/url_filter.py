@@ -2,12 +2,15 @@
 
 A rule is a host and a path prefix; it fits its host and all subdomains.  The trees see lexical
 features only - length, depth, digit ratio, entropy, parameter counts, and how often URLs of the
-same host suffix are blocked - and learn from the URLs that rules decide, at most ``TRAIN_ROWS``
-of them, taken by the hash of the URL.  The suffix statistics are counted over all labelled URLs.
+same host suffix are blocked - and learn from the URLs that rules decide: at most ``TRAIN_ROWS``
+different ones, those with the smallest hashes, each weighted by the number of its rows.  The suffix
+statistics are counted over all labelled rows.
 
 Edge cases: a null URL, or one without ``://``, has the empty host and path, fits no rule and is
 judged by the trees on its text; without labelled URLs the verdict is ``allow``, with labels of
-one kind it is that kind; repeated rows each get their result; an empty table gives no rows.
+one kind it is that kind; repeated rows each get their result and only add to the weight of their URL
+in the sample; URLs of any length are judged whole; a score of 0.5 (a tie) blocks; an empty table gives
+no rows; columns other than the id and the URL are not read.
 """
 
 from __future__ import annotations
@@ -85,17 +88,17 @@ def entropy(s: Column) -> Column:
     return F.aggregate(chars, F.lit(0.0), part)
 
 
-def lexical(pages: DataFrame) -> DataFrame:
-    """``page_id, host, path, rule, ruled`` and the features that need no statistics."""
+def lexical(pages: DataFrame, *more: str) -> DataFrame:
+    """``page_id, host, path, rule, ruled``, the columns ``more`` and the features that need no statistics."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host, path = host_of(url), path_of(url)
-    df = pages.select("page_id", url.alias("u"), host.alias("host"), path.alias("path"))
+    df = pages.select("page_id", url.alias("u"), host.alias("host"), path.alias("path"), *more)
     rule, verdict = matched(F.col("host"), F.col("path"))
     u, h, p = F.col("u"), F.col("host"), F.col("path")
     query = F.regexp_extract(u, r"(?s)\?([^#]*)", 1)
     digits = F.length(F.regexp_replace(u, "[^0-9]", ""))
     return df.select(
-        "page_id", "u", "host", "path", rule.alias("rule"), verdict.alias("ruled"),
+        "page_id", "u", "host", "path", *more, rule.alias("rule"), verdict.alias("ruled"),
         F.substring_index(h, ".", -1).alias("suffix"), F.substring_index(h, ".", -2).alias("pair"),
         F.length(u).alias("n_url"), F.length(h).alias("n_host"), F.length(p).alias("n_path"),
         (F.length(p) - F.length(F.translate(p, "/", ""))).alias("depth"),
@@ -124,6 +127,22 @@ def with_rates(df: DataFrame, labelled: DataFrame, prior: float) -> DataFrame:
     return df
 
 
+def training_urls(labelled: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` different labelled URLs by their hash, with ``label``, ``copies`` and the features.
+
+    The estimated number of different URLs thins them before rows of the same URL are added up; twice the
+    share asked for is let through, so that only an estimate off by half would leave fewer than there are.
+    """
+    about = labelled.agg(F.approx_count_distinct("u")).first()[0]
+    share = min(1.0, 2 * rows / max(about, 1))
+    h = F.xxhash64("u")
+    thinned = labelled.filter(F.pmod(h, F.lit(1 << 20)) < F.lit(round(share * (1 << 20))))
+    urls = thinned.groupBy("u").agg(F.count(F.lit(1)).cast("double").alias("copies"), F.min("label").alias("label"))
+    kept = cut(urls.orderBy(F.pmod(h, F.lit(1 << 20)), h, "u").limit(rows), "url_sample")
+    return lexical(kept.select(F.lit(None).cast("long").alias("page_id"), F.col("u").alias("url"), "copies", "label"),
+                   "copies", "label")
+
+
 def judge(pages: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """``page_id, host, path, rule, verdict, score``; the score is the trees' chance of a block."""
     rows = lexical(pages)
@@ -133,12 +152,11 @@ def judge(pages: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = TREES, de
         score = rows.withColumn("score", F.lit(1.0 if n and blocked == n else 0.0))
     else:
         prior = blocked / n
-        share = min(1.0, train_rows / n)
-        sample = labelled.filter(F.pmod(F.xxhash64("u"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-        train = cut(with_rates(sample, labelled, prior).select("label", *FEATURES).coalesce(4), "url_train")
+        train = cut(with_rates(training_urls(labelled, train_rows), labelled, prior).select(
+            "label", "copies", *FEATURES).coalesce(4), "url_train")
         vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=42, stepSize=0.3).fit(
-            vector.transform(train.coalesce(2)).select("label", "features"))
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=42, stepSize=0.3, weightCol="copies").fit(
+            vector.transform(train.coalesce(2)).select("label", "copies", "features"))
         told = model.transform(vector.transform(with_rates(rows, labelled, prior)))
         score = told.withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce(F.col("ruled"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))

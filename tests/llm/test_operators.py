@@ -1,6 +1,8 @@
 """The ten queries against plain loops, on odd rows and on whole small tables."""
 
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -71,6 +73,25 @@ def test_index_finds_what_a_plain_scan_finds():
         assert got == want
 
 
+@pytest.mark.parametrize("run", ["a" * 1_000_000 + "://", "eyJ" * 333_333 + ".", "a1-" * 333_333 + "://x", "-----BEGIN " + "A " * 500_000,
+                                 "eyJa." * 200_000, "token" * 200_000])
+def test_rules_are_linear(run):
+    start = time.process_time()
+    for rule in secret_scan.RULES:
+        for _ in re.finditer(rule.pattern, run):
+            pass
+    assert time.process_time() - start < 10  # a quadratic rule takes an hour
+
+
+def test_further_formats():
+    def spans(text):
+        return [(r.kind, m.group()) for r in secret_scan.MORE for m in re.finditer(r.pattern, text)]
+
+    assert spans("see https://joe:pw12345@x.de/") == [("url_login", "https://joe:pw12345@")]
+    assert spans("x" * 50 + "http://joe:pw12345@x.de") == [("url_login", "x" * 28 + "http://joe:pw12345@")]
+    assert spans("?t=eyJabc.eyJdef.sig_1 eyJ") == [("jwt", "eyJabc.eyJdef.sig_1")]
+
+
 def test_redact_secrets(odd):
     got = {r.doc_id: r.text for r in secret_scan.redact(odd.filter("doc_id = 8")).collect()}
     assert got[8].startswith("é😀 [SECRET], [SECRET] [SECRET]")
@@ -311,6 +332,40 @@ def test_line_frequency_counts_documents(spark):
     assert sum(i >= 3000 for i in kept) == 200  # copies are one document
 
 
+def plain_kept(rows, limit):
+    """``kept`` by plain loops: ``rows`` of id, text and host."""
+    def lines_of(t):
+        return [(" ".join(re.sub("[0-9]", "0", x.lower()).split()), len(x.split())) for x in (t or "").split("\n") if x.split()]
+
+    owners = {}
+    for d, t, host in rows:
+        for line in {x for x, _ in lines_of(t)}:
+            owners.setdefault((host or "", line), {}).setdefault(t, []).append(d)
+    first = {k: min(d for ids in v.values() for d in ids) for k, v in owners.items() if len(v) > limit}
+    out = []
+    for d, t, host in rows:
+        n, *_, failed = brute.rules(t)
+        gone = sum(m for x, m in lines_of(t) if first.get((host or "", x), d) != d)
+        left = n - gone
+        out.append((d, not failed and not (gone and (left < quality_rules.MIN_LEFT or left < quality_rules.MIN_SHARE * n))))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_kept_does_not_depend_on_the_layout(spark, given, partitions):
+    """Repeated rows above the limit are judged alike, and the verdicts are those of plain loops."""
+    rng = random.Random(3)
+    line = " ".join(f"{rng.choice('abcdefgh')}{rng.choice('klmnop')}" + "xyz"[k % 3] for k in range(12))
+    rows = [(i, f"{line}\nown{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uv'[i // 100]}", "a") for i in range(150)]
+    rows += [rows[0], rows[0], rows[7], (500, rows[3][1], None), (501, None, "a"), (502, f"{line}\n" + " ".join(f"w{chr(97 + k)}{chr(98 + k)}" for k in range(20)), "a")]
+    mixed = rows[:]
+    rng.shuffle(mixed)
+    given(quality_rules, documents=spark.createDataFrame(mixed, "doc_id long, text string, source string").repartition(partitions))
+    got = [(r.doc_id, r.kept) for r in quality_rules.op8_quality_rules(spark, "").collect()]
+    same_rows(got, plain_kept(rows, quality_rules.MAX_DOCUMENTS))
+    assert sorted(d for d, kept in got if kept) == [0, 0, 0, 500, 502]
+
+
 def test_remove_lines(spark):
     rows = [(i, f"own {i}\n\nSee  page {i} of us\nend {'abcdefgh'[i]}", "a") for i in range(8)]
     rows += [rows[0], (20, "see page 7 of us\nrest", "b"), (21, None, "a"), (22, "only own", "a")]
@@ -394,6 +449,22 @@ def test_url_trees_learn(spark):
     assert sum(got[1000 + i] == ("block" if i % 2 else "allow") for i in range(600)) > 570
 
 
+@pytest.mark.parametrize("hot", ["http://hot.com/x", "http://warm.net/es/y"])
+def test_url_sample_is_bounded(spark, hot):
+    """One URL on most rows is one URL of the sample, with its rows as weight."""
+    rows = [(i, hot) for i in range(3000)] + [(5000 + i, f"http://h{i % 50}.{'net/es' if i % 2 else 'com/a'}/{i}") for i in range(1000)]
+    rows += [(None, None), (9000, "")]
+    facts = url_filter.lexical(spark.createDataFrame(rows, "page_id long, url string"))
+    labelled = facts.filter("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
+    for bound in (100, 100_000):
+        got = url_filter.training_urls(labelled, bound).collect()
+        assert len(got) == len({r.u for r in got}) == min(bound, 1001)
+    assert {r.u: r.copies for r in got}[hot] == 3000
+    assert all(r.label == (r.ruled == "block") for r in got)
+    told = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), train_rows=100)
+    assert told.count() == 4002
+
+
 def test_lexicon_is_the_plain_edit_distance():
     rng = random.Random(4)
     terms = {"idiot": 2.0, "worthless": 3.0, "scum": 1.0, "lowei*": 1.5, "moron": 2.5}
