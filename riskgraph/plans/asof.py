@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskgraph.plans.dyadic import range_summary
 from riskgraph.plans.hot import MIN_ROWS, PIECE, attach, find_hot, group_window, piece_of, with_edges, with_piece
 
 
@@ -86,51 +87,8 @@ def counts_at(probes: DataFrame, history: DataFrame, windows, *, probe_id: str,
 
 
 def window_summary_at(probes: DataFrame, history: DataFrame, window: int, *, probe_id: str, key: str,
-                      probe_time: str, time: str, amount: str, label: str, slices: int = 32) -> DataFrame:
-    """Count, sum, extremes and labels of the trailing window at each probe, both ends inclusive.
-
-    Time is cut into slices of ``window / slices``.  A probe takes the end of its oldest slice,
-    the start of its newest one (both from running aggregates inside the slice) and the totals of
-    the slices between, so the work is linear in rows plus ``slices`` per probe, also on a card
-    that holds a large part of the history.
-    """
-    width = max(window // slices, 1)
-    h = history.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), F.col(time).alias("_t"), F.col(amount).cast("double").alias("_a"),
-        F.coalesce(F.col(label).cast("long"), F.lit(0)).alias("_y"))
-    h = h.withColumn("_s", F.floor(F.col("_t") / width))
-    p = probes.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), F.col(probe_id).alias("_pid"),
-        F.col(probe_time).alias("_hi"), (F.col(probe_time) - window).alias("_lo"))
-    lo_s, hi_s = F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width)
-    ends = F.array(
-        F.struct(F.lit(1).alias("end"), F.col("_hi").alias("t")),
-        F.struct(F.lit(2).alias("end"), F.col("_lo").alias("t")))
-    probes2 = p.select("_key", "_pid", F.explode(ends).alias("_e")).select(
-        "_key", "_pid", F.col("_e.end").alias("_end"), F.col("_e.t").alias("_t")).withColumn(
-        "_s", F.floor(F.col("_t") / width))
-    ev = h.withColumn("_end", F.lit(0)).unionByName(probes2, allowMissingColumns=True)
-    # Going up in time, upper probes come after the rows of their second; going down, lower ones do.
-    up = Window.partitionBy("_key", "_s").orderBy("_t", "_end")
-    down = Window.partitionBy("_key", "_s").orderBy(F.desc("_t"), "_end")
-
-    def aggs(w):
-        f = w.rowsBetween(Window.unboundedPreceding, 0)
-        row = F.col("_end") == 0
-        return F.struct(
-            F.sum(row.cast("long")).over(f).alias("n"), F.sum("_a").over(f).alias("s"),
-            F.max("_a").over(f).alias("x"), F.sum("_y").over(f).alias("y"),
-            F.min(F.when(row, F.col("_t"))).over(f).alias("t"))
-
-    edge = ev.select("_pid", "_end", aggs(up).alias("_u"), aggs(down).alias("_d")).filter(F.col("_end") > 0)
-    edge = edge.select("_pid", F.when(F.col("_end") == 1, F.col("_u")).otherwise(F.col("_d")).alias("_z"))
-    totals = h.groupBy("_key", "_s").agg(F.struct(
-        F.count(F.lit(1)).alias("n"), F.sum("_a").alias("s"), F.max("_a").alias("x"),
-        F.sum("_y").alias("y"), F.min("_t").alias("t")).alias("_z"))
-    between = p.filter(hi_s - lo_s > 1).select(
-        "_key", "_pid", F.explode(F.sequence(lo_s + 1, hi_s - 1)).alias("_s"))
-    inner = between.join(totals, ["_key", "_s"]).select("_pid", "_z")
-    return edge.unionByName(inner).groupBy(F.col("_pid").alias(probe_id)).agg(
-        F.coalesce(F.sum("_z.n"), F.lit(0)).alias("n"), F.sum("_z.s").alias("total"),
-        F.max("_z.x").alias("max_amount"), F.coalesce(F.sum("_z.y"), F.lit(0)).alias("n_fraud"),
-        F.min("_z.t").alias("first_time"))
+                      probe_time: str, time: str, amount: str, label: str, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Count, sum, extremes and labels of the trailing window at each probe, both ends inclusive."""
+    at = F.col(probe_time).cast("long")
+    return range_summary(probes, history, probe_id=probe_id, key=key, lo=at - window, hi=at, time=time, amount=amount,
+                         label=label, span=window, min_rows=min_rows)

@@ -11,6 +11,7 @@ from riskgraph.operators import rules as R
 from riskgraph.operators.graph import knn as K
 from riskgraph.operators.graph.hubs import hub_index, neighbour_counts
 from riskgraph.plans.asof import asof_join
+from riskgraph.plans.dyadic import range_summary
 from riskgraph.plans.lineage import cut
 from riskgraph.queries.registry import query, rounded, rsql
 from riskgraph.schema import DISPOSABLE_MARKERS
@@ -97,6 +98,21 @@ def card_history_evidence(spark, sf_dir):
     return rounded(V.card_history(alerts(spark, sf_dir), transactions(spark, sf_dir)), 8)
 
 
+@query("card_week_before", f"""WITH {TX_SQL}, w AS (SELECT a."TransactionID" AS id, h.* FROM tx a JOIN tx h ON a.card1 = h.card1
+    AND h."TransactionDT" BETWEEN a."TransactionDT" - 604800 AND a."TransactionDT" - 1),
+g AS (SELECT id, count(*) AS n, sum("TransactionAmt") AS total, max("TransactionAmt") AS mx, min("TransactionAmt") AS mn,
+  sum("isFraud") AS nf, min("TransactionDT") AS first_time FROM w GROUP BY 1)
+SELECT "TransactionID", coalesce(n, 0) AS n, coalesce(cast(nf AS bigint), 0) AS n_fraud, cast(first_time AS bigint) AS first_time,
+  {rsql({"total": "total", "max_amount": "mx", "min_amount": "mn"}, 6)} FROM tx LEFT JOIN g ON id = "TransactionID"
+WHERE card1 IS NOT NULL""")
+def card_week_before(spark, sf_dir):
+    """Every transaction with its card's rows of the seven days before it, its own second left out."""
+    tx = transactions(spark, sf_dir).select("TransactionID", "card1", "TransactionDT", "TransactionAmt", "isFraud")
+    at = F.col("TransactionDT")
+    return rounded(range_summary(tx, tx, probe_id="TransactionID", key="card1", lo=at - 604800, hi=at - 1, time="TransactionDT",
+                                 amount="TransactionAmt", label="isFraud", span=604800))
+
+
 @query("velocity_evidence", f"""WITH {HIST_SQL} SELECT alert_id, {rsql({"velocity_1h": "n1", "velocity_6h": "n6 / 6.0",
   "velocity_24h": "n24 / 24.0", "baseline_per_hour": "n30 / 720.0"}, 8)} FROM vs""")
 def velocity_evidence(spark, sf_dir):
