@@ -1,7 +1,7 @@
 """Best-fit packing of tokenised documents into sequences of a fixed number of tokens.
 
 1. A map tokenises whole texts and cuts only documents longer than a sequence.  Chunks between
-   white space are encoded once per worker and kept in a bounded table (``MEMO``), as the
+   white space are encoded once per worker and kept in a bounded table (``MEMO_BYTES``), as the
    tokenizer never looks across white space.
 2. The pieces (numbers only) are sorted by length over all partitions and written, with their
    place inside (partition, length).  A count per (partition, length) - at most partitions +
@@ -9,9 +9,9 @@
 3. The configuration linear program over the histogram: patterns of lengths that fit a sequence,
    every length covered as often as it occurs, as few patterns as possible.  Multiplicative
    weights hold a price per length; a knapsack dynamic program finds the patterns of the best
-   price; each is taken in an integer share of what its lengths still miss, and the prices of
-   covered lengths fall (:func:`solve`).  Taking integer shares is the rounding; what is left is
-   put by best fit, on counts, into the tightest gaps.
+   price, each is taken in a fraction, and the prices of covered lengths fall (:func:`relax`, which
+   also gives the best dual value as a bound).  The fractions are rounded, the rest is put by best
+   fit, on counts, into the tightest gaps (:func:`solve`).
 4. A piece's rank among its length gives its sequence and offset by one search in the slot table,
    whose size depends on the number of patterns (``ROUNDS`` x 4096 at most), not on the input.
 
@@ -38,9 +38,10 @@ from riskgraph.plans.lineage import cut
 
 CAPACITY = 4096
 END = 1
-MEMO = 600_000
+MEMO_BYTES = 160_000_000
 ROUNDS = 12
 RATE = 0.35
+SCALE = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -62,7 +63,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 class ChunkIds:
-    """Little-endian ids of texts; what is known of chunks is forgotten beyond ``MEMO`` chunks.
+    """Little-endian ids of texts; what is known of chunks is forgotten beyond ``MEMO_BYTES`` bytes,
+    so a worker holds no more than that and the chunks of one text, however long chunks are.
 
     Chunks of plain letters go straight to the tokenizer's model, all others through its whole
     pipeline; both give the same ids.
@@ -76,6 +78,7 @@ class ChunkIds:
         self.word = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.size = 0
         self.marks = {m: self._ids(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"} | {"": b""}
 
     @staticmethod
@@ -109,10 +112,11 @@ class ChunkIds:
         chunks = text.split()
         new = set(chunks).difference(self.known)
         if new:
-            if len(self.known) + len(new) > MEMO:
+            if self.size > MEMO_BYTES:
                 self.known.clear()
-                new = set(chunks)
+                self.size, new = 0, set(chunks)
             self.learn(new)
+            self.size += sum(260 + len(c) + len(self.known[c]) for c in new)
         return b"".join(map(self.known.__getitem__, chunks))
 
 
@@ -176,19 +180,26 @@ def _fill(choice: np.ndarray, room: int) -> dict[int, int]:
     return out
 
 
-def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE):
-    """Patterns with their multiplicity: ``[(times, {length: copies})]``; every piece is in one.
+def relax(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE):
+    """Configuration linear program: ``([(x, {length: copies})], bound)``.
 
-    ``counts[l]`` is the number of pieces of length ``l``.
+    The patterns, each taken ``x / SCALE`` times, cover every length exactly; ``bound`` is the best dual
+    value met, which no packing, whole or fractional, can go below.  ``counts[l]`` is the number of
+    pieces of length ``l``.  Weights of lengths are prices: every pattern of near maximal weight takes
+    ``rate`` of what its lengths still miss, and their weights shrink by the share that was covered.
+    What is left after ``rounds`` is covered by best fit, in the same fractions.
     """
-    need = counts.astype(np.int64).copy()
+    need = counts.astype(np.int64) * SCALE
     total = np.maximum(need, 1)
     weights = np.where(need > 0, np.arange(len(need)) / capacity, 0.0)
+    bound = float(counts @ weights)  # lengths as shares of the capacity are dual feasible
     patterns: list[tuple[int, dict[int, int]]] = []
     for _ in range(rounds):
-        best, choice = price(np.where(need > 0, weights, 0.0), capacity)
+        prices = np.where(need > 0, weights, 0.0)
+        best, choice = price(prices, capacity)
         if best[capacity] <= 0:
             break
+        bound = max(bound, float(counts @ prices) / best[capacity])
         for top in np.flatnonzero(need)[::-1].tolist():
             if not need[top] or weights[top] + best[capacity - top] < (1 - rate / 4) * best[capacity]:
                 continue
@@ -203,7 +214,45 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, ra
             for length, n in pattern.items():
                 need[length] -= times * n
                 weights[length] *= np.exp(-rate * times * n / total[length])
-    return _best_fit(patterns, need, capacity)
+    found: dict[tuple, int] = {}
+    for times, pattern in _best_fit(patterns, need, capacity):
+        key = tuple(sorted(pattern.items()))
+        found[key] = found.get(key, 0) + times
+    return [(x, dict(key)) for key, x in found.items()], bound
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE):
+    """Patterns with their multiplicity: ``[(times, {length: copies})]``; every piece is in one.
+
+    The fractional cover of :func:`relax` is rounded down.  What is open is packed twice, by the
+    patterns with the largest fractions that fit whole and best fit for the rest, or by every
+    pattern once more without what is too much; the shorter result counts.  The second makes it at
+    most the value of the linear program plus the number of its patterns.
+    """
+    fractional, _ = relax(counts, capacity, rounds, rate)
+    whole = [(x // SCALE, pattern) for x, pattern in fractional if x >= SCALE]
+    parts = sorted(((x % SCALE, sorted(pattern.items())) for x, pattern in fractional if x % SCALE), reverse=True)
+    parts = [dict(items) for _, items in parts]
+    open_ = counts.astype(np.int64).copy()
+    for times, pattern in whole:
+        for length, n in pattern.items():
+            open_[length] -= times * n
+    need, fitting = open_.copy(), []
+    for pattern in parts:
+        if all(need[length] >= n for length, n in pattern.items()):
+            fitting.append((1, pattern))
+            for length, n in pattern.items():
+                need[length] -= n
+    fitted = _best_fit(whole + fitting, need, capacity)
+    need, trimmed = open_.copy(), []
+    for pattern in parts:
+        less = {length: min(n, int(need[length])) for length, n in pattern.items() if need[length]}
+        if less:
+            trimmed.append((1, less))
+            for length, n in less.items():
+                need[length] -= n
+    covered = _best_fit(whole + trimmed, need, capacity)
+    return min(fitted, covered, key=lambda p: sum(times for times, _ in p))
 
 
 def _best_fit(patterns, need: np.ndarray, capacity: int):
