@@ -1,7 +1,8 @@
 """Toxicity by a learned lexicon, found also misspelled, weighed by its context.
 
 * Lexicon: whole words and word beginnings that stand in labelled toxic documents far more often
-  than in others (likelihood ratio above ``EVIDENCE``), with their log odds as weight.
+  than in others (likelihood ratio above ``EVIDENCE``), with their log odds as weight.  Evidence alone
+  decides; no count of terms is set, and the bounded sample bounds their number.
 * Matching: the lexicon is a trie; Levenshtein automata of all its terms run on it at once.  States
   are sets of (trie node, edits), made and remembered when a text first needs them, so a word
   costs one table step per letter and most words die after a few.  Whole terms of 5 letters allow
@@ -34,7 +35,6 @@ from riskgraph.llm.learn import FOLDS, chance, labelled_sample, logistic
 TRAIN_ROWS = 12_000
 EVIDENCE = 25.0
 MIN_DOCS = 4
-MAX_TERMS = 5000
 BEGINNINGS = (4, 5, 6)
 NEAR = 8
 QUOTED = 0.25
@@ -211,7 +211,7 @@ def learn_lexicon(sample: DataFrame, evidence: float = EVIDENCE) -> dict[str, fl
     # G statistic of the term's toxic share against the share of all documents.
     g = 2 * (F.col("a") * F.log(p / rate) + F.when(p < 1, (F.col("n") - F.col("a")) * F.log((1 - p) / (1 - rate))).otherwise(0.0))
     kept = counts.filter((F.col("a") >= MIN_DOCS) & (p > 3 * rate) & (p > 0.4)).withColumn("g", g).filter(
-        F.col("g") >= evidence).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()
+        F.col("g") >= evidence).orderBy("term").collect()
     return {r["term"]: math.log((r["a"] + 0.5) / (r["n"] - r["a"] + 0.5)) + math.log((1 - rate) / rate) for r in kept}
 
 
