@@ -219,6 +219,15 @@ def test_chunks_are_encoded_as_by_the_tokenizer():
         assert np.frombuffer(ids.encode(text.encode().lower()), "<u4").tolist() == want, text
 
 
+def test_known_chunks_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_BYTES", 20_000)
+    ids = packing.ChunkIds(packing.tokenizer_path())
+    for i in range(30):
+        text = " ".join(f"{i}x{j}" + "ab" * 900 for j in range(3))
+        assert np.frombuffer(ids.encode(text.encode()), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.size <= 20_000 + 3 * 12_000 and len(ids.known) < 20
+
+
 def check_places(rows, bound=None):
     sequences = {}
     for r in rows:
@@ -246,6 +255,14 @@ def test_configurations(case):
             used[length] += times * n
     assert (used == counts).all()
     assert sum(t for t, _ in patterns) <= max(1.1 * lengths.sum() / 4096 + 1, sum(t for t, _ in packing.solve(counts, rounds=0)) * 1.002)
+    fractional, bound = packing.relax(counts)
+    value, cover = sum(x for x, _ in fractional) / packing.SCALE, np.zeros(4097)
+    for x, pattern in fractional:
+        for length, n in pattern.items():
+            cover[length] += x * n / packing.SCALE
+    assert np.allclose(cover, counts)
+    assert lengths.sum() / 4096 - 1e-6 <= bound <= value + 1e-6
+    assert bound - 1e-6 <= sum(t for t, _ in patterns) <= value + len(fractional)
     slots, places = packing.Slots(patterns, counts), Counter()
     for length in np.flatnonzero(counts):
         sequence, offset = slots.place(np.full(counts[length], length), np.arange(counts[length]))
