@@ -1,8 +1,9 @@
 """Distribution drift between a reference and a current sample, all features in one job.
 
-Both samples are unpivoted to (side, feature, value).  Bin edges are a few numbers per feature
-and travel as literals, so binning stays in generated code and the counts combine before the
-shuffle.
+Both samples are unpivoted to (feature, value, side) once.  Quantiles and the Kolmogorov-Smirnov
+distance come from counts in ever finer intervals (``operators/refine``), so no value is sorted
+or shuffled.  Bin edges are a few numbers per feature and travel as literals, so binning stays in
+generated code and the counts combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,10 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgraph.functions import scalar as S
-from riskgraph.functions.quantiles import ranked_values
-from riskgraph.plans.hot import MIN_ROWS
+from riskgraph.operators.refine import gaps_of, levels, quantiles_of, totals_of
 from riskgraph.plans.lineage import cut
-from riskgraph.plans.scan import running_sums
 
 EPS = 1e-6
 JS_EPS = 1e-12
@@ -113,23 +112,20 @@ def _bin_counts(values: DataFrame, bin_col) -> DataFrame:
         F.sum("r").alias("r"), F.sum("c").alias("c"))
 
 
-def value_counts(reference: DataFrame, current: DataFrame, features, *, min_rows: int = MIN_ROWS) -> DataFrame:
-    """``feature, v, r, c`` per distinct value with running counts ``cr, cc`` and their totals.
-
-    The one pass over the data; every numeric measure is a small aggregate of this written table.
-    """
+def value_rows(reference: DataFrame, current: DataFrame, features) -> DataFrame:
+    """``feature, v, r, c`` per value, ``r`` or ``c`` being 1; the table that all numeric measures count."""
     long = both_sides(numeric_values(reference, features), numeric_values(current, features))
-    per = long.groupBy("feature", "v").agg(
-        F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("c"))
-    return cut(running_sums(per, ["feature"], "v", {"cr": F.col("r"), "cc": F.col("c")},
-                            min_rows=min_rows, totals=True), "values")
+    return cut(long.select("feature", "v", (F.col("side") == 0).cast("long").alias("r"),
+                           (F.col("side") == 1).cast("long").alias("c")), "values")
+
+
+def _probs(n_bins: int) -> list[float]:
+    return [i / n_bins for i in range(n_bins + 1)]
 
 
-def _psi(values: DataFrame, features, n_bins: int) -> DataFrame:
-    probs = [i / n_bins for i in range(n_bins + 1)]
-    edges = {r["feature"]: _increasing(r["q"]) for r in values.filter("cr_total > 0").groupBy("feature").agg(
-        ranked_values(probs, "v", "cr", "cr_total").alias("q")).collect()}
-    have = [f for f in features if f in edges]
+def _psi(values: DataFrame, quantiles: DataFrame, n_bins: int) -> DataFrame:
+    edges = {r["feature"]: _increasing(r["q"]) for r in quantiles.collect()}
+    have = list(edges)
     if not have:
         return values.sparkSession.createDataFrame([], "feature string, psi double")
     b = _per_feature(have, lambda f: S.bin_index(F.col("v"), edges[f]))
@@ -137,10 +133,9 @@ def _psi(values: DataFrame, features, n_bins: int) -> DataFrame:
     return _share_sums(counts, ["feature"], EPS, _psi_term).select("feature", F.col("value").alias("psi"))
 
 
-def _js(values: DataFrame, features, n_bins: int) -> DataFrame:
-    ranges = {r["feature"]: (float(r["lo"]), float(r["hi"])) for r in values.groupBy("feature").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-    have = [f for f in features if f in ranges]
+def _js(values: DataFrame, totals: DataFrame, n_bins: int) -> DataFrame:
+    ranges = {r["feature"]: (float(r["lo"]), float(r["hi"])) for r in totals.select("feature", "lo", "hi").collect()}
+    have = list(ranges)
     if not have:
         return values.sparkSession.createDataFrame([], "feature string, js double")
     b = _per_feature(have, lambda f: S.equal_bin(F.col("v"), *ranges[f], n_bins))
@@ -148,33 +143,37 @@ def _js(values: DataFrame, features, n_bins: int) -> DataFrame:
     return _share_sums(counts, ["feature"], JS_EPS, _js_term).select("feature", F.col("value").alias("js"))
 
 
-def _ks(values: DataFrame) -> DataFrame:
-    gap = F.abs(F.try_divide("cr", "cr_total") - F.try_divide("cc", "cc_total"))
-    out = values.groupBy("feature").agg(
-        F.coalesce(F.max(gap), F.lit(0.0)).alias("ks"),
-        F.first("cr_total").cast("double").alias("_n"), F.first("cc_total").cast("double").alias("_m"))
-    en = F.sqrt(F.col("_n") * F.col("_m") / F.greatest(F.col("_n") + F.col("_m"), F.lit(1.0)))
+def _ks(gaps: DataFrame, totals: DataFrame) -> DataFrame:
+    n, m = F.col("nr").cast("double"), F.col("nc").cast("double")
+    en = F.sqrt(n * m / F.greatest(n + m, F.lit(1.0)))
     lam = (en + 0.12 + F.try_divide(F.lit(0.11), en)) * F.col("ks")
     tail = sum((F.lit(2.0 * (-1) ** (j - 1)) * F.exp(-2.0 * j * j * lam * lam) for j in range(1, 31)),
                F.lit(0.0))
     p = F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
-    both = (F.col("_n") > 0) & (F.col("_m") > 0)
-    return out.select("feature", F.when(both, F.col("ks")).otherwise(0.0).alias("ks"), F.when(both, p).alias("ks_pvalue"))
+    both = (n > 0) & (m > 0)
+    return totals.select("feature", "nr", "nc").join(gaps, "feature").select(
+        "feature", F.when(both, F.col("ks")).otherwise(0.0).alias("ks"), F.when(both, p).alias("ks_pvalue"))
 
 
 def numeric_psi(reference: DataFrame, current: DataFrame, features, *, n_bins: int = 10) -> DataFrame:
     """``feature, psi`` over reference-quantile bins, repeated edges raised by 1e-9."""
-    return _psi(value_counts(reference, current, features), features, n_bins)
+    values = value_rows(reference, current, features)
+    probs = _probs(n_bins)
+    found = levels(values, cut(totals_of(values), "totals"), probs)
+    return _psi(values, quantiles_of(found, probs), n_bins)
 
 
 def js_divergence(reference: DataFrame, current: DataFrame, features, *, n_bins: int = 30) -> DataFrame:
     """``feature, js`` (nats) over equal bins of the pooled range; a constant feature gives 0."""
-    return _js(value_counts(reference, current, features), features, n_bins)
+    values = value_rows(reference, current, features)
+    return _js(values, totals_of(values), n_bins)
 
 
 def ks_test(reference: DataFrame, current: DataFrame, features) -> DataFrame:
     """``feature, ks, ks_pvalue``: largest gap of the two distribution functions, asymptotic p."""
-    return _ks(value_counts(reference, current, features))
+    values = value_rows(reference, current, features)
+    totals = cut(totals_of(values), "totals")
+    return _ks(gaps_of(levels(values, totals, gaps=True)), totals)
 
 
 def category_counts(reference: DataFrame, current: DataFrame, features) -> DataFrame:
@@ -240,7 +239,7 @@ def severity(psi, warn: float = 0.10, alert: float = 0.25):
 
 
 def drift_report(reference: DataFrame, current: DataFrame, *, numeric=None, categorical=None,
-                 n_bins: int = 10, js_bins: int = 30, max_group: int = MIN_ROWS) -> DataFrame:
+                 n_bins: int = 10, js_bins: int = 30) -> DataFrame:
     """One row per common feature with all drift measures; kinds not given are inferred."""
     cols = common_columns(reference, current)
     numeric = [c for c in (numeric or []) if c in cols]
@@ -252,13 +251,15 @@ def drift_report(reference: DataFrame, current: DataFrame, *, numeric=None, cate
         categorical += [c for c in rest if kinds[c] == "categorical"]
     parts = []
     if numeric:
-        values = value_counts(reference, current, numeric, min_rows=max_group)
-        base = values.groupBy("feature").agg(
-            F.first("cr_total").alias("n_reference"), F.first("cc_total").alias("n_current"),
-            (F.try_divide(F.sum(F.col("v") * F.col("c")), F.first("cc_total"))
-             - F.try_divide(F.sum(F.col("v") * F.col("r")), F.first("cr_total"))).alias("mean_shift"))
-        parts.append(base.join(_psi(values, numeric, n_bins), "feature", "left").join(_ks(values), "feature", "left")
-                     .join(_js(values, numeric, js_bins), "feature", "left").withColumn("kind", F.lit("numeric")))
+        values = value_rows(reference, current, numeric)
+        totals = cut(totals_of(values), "totals")
+        found = levels(values, totals, _probs(n_bins), gaps=True)
+        base = totals.select(
+            "feature", F.col("nr").alias("n_reference"), F.col("nc").alias("n_current"),
+            (F.try_divide("sc", "nc") - F.try_divide("sr", "nr")).alias("mean_shift"))
+        parts.append(base.join(_psi(values, quantiles_of(found, _probs(n_bins)), n_bins), "feature", "left")
+                     .join(_ks(gaps_of(found), totals), "feature", "left")
+                     .join(_js(values, totals, js_bins), "feature", "left").withColumn("kind", F.lit("numeric")))
     if categorical:
         counts = cut(category_counts(reference, current, categorical), "categories")
         base = counts.groupBy("feature").agg(F.sum("r").alias("n_reference"), F.sum("c").alias("n_current"))
