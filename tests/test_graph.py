@@ -178,6 +178,14 @@ def test_shared_edges_below_and_above_the_pair_cap(spark):
     assert all((b, a) in pairs for a, b in pairs)
 
 
+def test_shared_edges_without_hubs_are_the_exact_ones(spark):
+    rows = [(i, i, 1.0, i, 5.0 if i < 8 else 6.0, 1.0, "x.com", "mobile", f"d{i}", 0) for i in range(10)]
+    df = tx_frame(spark, rows)
+    m = B.fit_graph(df)
+    e = B.shared_card_edges(m.keyed(df), m.nodes, cap=10, hubs=False).collect()
+    assert sorted((r["etype"], r["src"], r["dst"]) for r in e) == [("shared_address", 8, 9), ("shared_address", 9, 8)]
+
+
 def test_peer_limit_keeps_the_smallest_peers(spark):
     rows = [(i, i, 1.0, i, 5.0, 1.0, "x.com", "mobile", f"d{i}", 0) for i in range(30)]
     got = {}
