@@ -87,3 +87,61 @@ def test_a_stretch_of_time_is_one_batch(spark, tmp_path):
     A.run_to_end(_dealt(spark, rows, "t", 1).writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "chk")))
     assert sum(r[2] for r in seen) == 1000 and len(seen) == 5
     assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+
+
+def test_ordered_features_ask_the_state_once_a_bucket(spark):
+    """Many buckets due at once: one frame, and one reading and writing of the totals."""
+    calls = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            calls.append("update")
+            self.held = v
+
+    class Map(dict):
+        containsKey = dict.__contains__
+        getValue = dict.__getitem__
+        updateValue = dict.__setitem__
+        removeKey = dict.__delitem__
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getMapState(self, *a):
+            return Map()
+
+        def getValueState(self, *a):
+            return Value()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs
+
+    import pandas as pd
+
+    h, p = Handle(), P.OrderedCard()
+    p.init(h)
+    rows = pd.DataFrame({"TransactionID": range(50), "TransactionDT": [600 * i for i in range(50)], "TransactionAmt": [1.0] * 50})
+    list(p.handleInputRows(("1",), iter([rows]), Now(0)))
+    assert h.timers == [60_000]
+    frames = list(p.handleExpiredTimer(("1",), Now(40 * 600_000), Now(60_000)))
+    assert [len(f) for f in frames] == [40] and frames[0]["n_3600s"].tolist()[-1] == 7
+    assert calls == ["exists", "update"] and h.timers[-1] == (40 * 10 + 1) * 60_000
