@@ -65,3 +65,21 @@ def test_a_key_is_neither_sorted_nor_scanned(spark):
     plan = tree(h, key="c", time="t", amount="a", label="y", top=3)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Sort" not in plan.replace("SortAggregate", "")
     assert "hashpartitioning(_key" in plan and "_block" in plan.split("hashpartitioning(_key")[1].split(")")[0]
+
+
+def test_requests_are_never_broadcast(spark):
+    """They are a hundred rows a probe, which the planner does not see."""
+    h = spark.range(200).select(F.col("id").alias("TransactionID"), (F.col("id") % 5).alias("card1"), (F.col("id") * 977).alias("t"),
+                                F.lit(1.0).alias("a"), F.lit(0).alias("y"))
+    s = range_summary(h, h, probe_id="TransactionID", key="card1", lo=F.col("t") - 604800, hi=F.col("t"), time="t", amount="a",
+                      label="y", span=604800)
+    assert "BroadcastExchange" not in s._jdf.queryExecution().executedPlan().toString()
+    assert s.agg(F.sum("n")).first()[0] == sum((i // 5) + 1 if 977 * (i - i % 5) <= 604800 else min(i // 5, 604800 // (977 * 5)) + 1 for i in range(200))
+
+
+def test_alerts_keep_columns_of_their_rows(spark):
+    from riskgraph.operators.evidence import alerts_from
+
+    rows = spark.createDataFrame([(1, 0.9, 5.0, 7, 10, "x"), (2, 0.1, 5.0, 7, 11, "y")],
+                                 "TransactionID long, fraud_score double, TransactionAmt double, card1 long, TransactionDT long, ProductCD string")
+    assert [r["ProductCD"] for r in alerts_from(rows, keep=("ProductCD",)).collect()] == ["x"]
