@@ -31,6 +31,9 @@ MOST_CELLS = 4096
 SAMPLE = 100_000
 #: Queries that :func:`tune` compares with all cases.
 TUNED_ON = 500
+#: Rows that a task hands on at once, and distances to centres that it holds at once.
+PIECE_ROWS = 1 << 15
+PIECE_PRODUCTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -48,26 +51,33 @@ def _units(df: DataFrame, ident: str, vec: str, dim: int) -> DataFrame:
     return unit_vectors(df.select(ident, F.coalesce(F.col(vec), empty).alias(vec)), ident, vec, dim)
 
 
+def _nearest_cells(batch: pa.RecordBatch, centers: np.ndarray, probes: int):
+    """Vectors of a batch with their nearest cells, in pieces of at most ``PIECE_ROWS`` rows (or one
+    vector's): with all cells probed a whole batch would be as many vectors as it has rows times cells."""
+    half = (centers * centers).sum(axis=1) / 2  # the centres are no unit vectors
+    probes = min(probes, len(centers))
+    step = max(1, min(PIECE_ROWS // probes, PIECE_PRODUCTS // len(centers)))
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        n = part.num_rows
+        x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        order = np.argsort(half - np.round(x @ centers.T, 12), axis=1, kind="stable")[:, :probes]
+        rows = pa.array(np.repeat(np.arange(n), probes))
+        yield pa.RecordBatch.from_arrays([
+            part.column("id").take(rows), part.column("v").take(rows),
+            pa.array(order.reshape(-1).astype(np.int32)),
+            pa.array(np.tile(np.arange(probes, dtype=np.int32), n)),
+        ], names=["id", "v", "cell", "nearness"])
+
+
 def _in_cells(vectors: DataFrame, centers: np.ndarray, probes: int) -> DataFrame:
     """``id, v, cell, nearness`` with one row for each of the ``probes`` nearest cells; ties to the lower cell."""
     shared = vectors.sparkSession.sparkContext.broadcast(centers)
     ident = vectors.schema["id"].dataType.simpleString()
 
     def assign(batches):
-        c = shared.value
-        half = (c * c).sum(axis=1) / 2  # the centres are no unit vectors
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            order = np.argsort(half - np.round(x @ c.T, 12), axis=1, kind="stable")[:, :probes]
-            rows = pa.array(np.repeat(np.arange(n), order.shape[1]))
-            yield pa.RecordBatch.from_arrays([
-                batch.column("id").take(rows), batch.column("v").take(rows),
-                pa.array(order.reshape(-1).astype(np.int32)),
-                pa.array(np.tile(np.arange(order.shape[1], dtype=np.int32), n)),
-            ], names=["id", "v", "cell", "nearness"])
+            yield from _nearest_cells(batch, shared.value, probes)
 
     return vectors.select("id", "v").mapInArrow(assign, f"id {ident}, v array<double>, cell int, nearness int")
 

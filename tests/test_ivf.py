@@ -52,3 +52,18 @@ def test_few_and_no_rows(spark):
     assert ivf.search(one, ivf.fit_ivf(none, dim=2)).collect() == []
     assert ivf.search(none, index).collect() == []
     assert ivf.tune(index, none).probes == 1
+
+
+def test_all_cells_of_a_batch_come_in_bounded_pieces():
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    x, centers = draw.normal(size=(500, 4)), draw.normal(size=(300, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(x.tolist())], names=["id", "v"])
+    parts = list(ivf._nearest_cells(batch, centers, 300))
+    assert sum(p.num_rows for p in parts) == 500 * 300 and max(p.num_rows for p in parts) <= ivf.PIECE_ROWS
+    near = pa.Table.from_batches(parts)
+    want = np.argsort((centers * centers).sum(axis=1) / 2 - np.round(x @ centers.T, 12), axis=1, kind="stable")
+    assert np.array_equal(near["cell"].to_numpy().reshape(500, 300), want)
+    assert near["v"][300 * 7 + 5].as_py() == x[7].tolist()
