@@ -7,7 +7,7 @@ broadcast and no (query, case) pairs leave a task.
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,20 @@ from pyspark.sql import functions as F
 from riskgraph.functions import scalar as S
 
 
+#: Pairs of blocks that the work is cut into, about, as long as blocks stay within ``MOST_BLOCK``.
+GROUPS = 64
+MOST_BLOCK = 1 << 16
+#: Cosines that a task holds at once.
+PRODUCTS = 1 << 22
+
+
+def block_counts(queries: int, cases: int, block: int) -> tuple[int, int]:
+    """Blocks of both sides.  Every vector travels once per block of the other side, so blocks grow from
+    ``block`` to ``MOST_BLOCK`` vectors with the tables, and the copies of a vector stay a few."""
+    size = max(block, min(MOST_BLOCK, ceil(sqrt(queries * cases / GROUPS))))
+    return max(1, ceil(queries / size)), max(1, ceil(cases / size))
+
+
 def unit_vectors(df: DataFrame, ident: str, vec: str, dim: int) -> DataFrame:
     """``id, v``: padded or truncated to ``dim`` and scaled to unit length."""
     return df.select(F.col(ident).alias("id"), S.unit(S.fit_length(F.col(vec), dim)).alias("v"))
@@ -31,7 +45,7 @@ def similar_cases(queries: DataFrame, bank: DataFrame, *, k: int = 3, query_id:
     """
     q = unit_vectors(queries, query_id, query_vec, dim)
     b = unit_vectors(bank, case_id, case_vec, dim)
-    nq, nb = max(1, ceil(q.count() / block)), max(1, ceil(b.count() / block))
+    nq, nb = block_counts(q.count(), b.count(), block)
     q = q.select(F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bb"),
                  F.lit(0).alias("side"), "id", "v")
     b = b.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qb"),
@@ -46,8 +60,9 @@ def similar_cases(queries: DataFrame, bank: DataFrame, *, k: int = 3, query_id:
         ids = bs["id"].to_numpy()
         mat = np.stack(bs["v"].to_numpy())
         out = []
-        for i in range(0, len(qs), 1024):
-            part = qs.iloc[i:i + 1024]
+        step = max(1, PRODUCTS // len(ids))
+        for i in range(0, len(qs), step):
+            part = qs.iloc[i:i + step]
             sims = np.round(np.stack(part["v"].to_numpy()) @ mat.T, 12)
             if skip_self:
                 sims[part["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf

@@ -243,3 +243,17 @@ def test_graph_features_have_28_columns_and_fall_back_to_zero(spark):
     assert len(out.columns) == 29 and out.count() == 12
     new = m.transform(tx_frame(spark, [(99, 1, 1.0, 77, 9.0, 9.0, "y.org", "z", "z", 0)])).first()
     assert new["feat_gr_card_degree"] == 0 and new["feat_gr_tx_degree"] == 6
+
+
+def test_copies_of_a_vector_stay_few_as_the_tables_grow():
+    assert K.block_counts(2000, 2000, 4096) == (1, 1) and K.block_counts(12_000, 12_000, 4096) == (3, 3)
+    assert K.block_counts(0, 0, 4096) == (1, 1)
+    for n in (60_000, 120_000, 500_000):
+        assert K.block_counts(n, n, 4096) == (8, 8)
+
+
+def test_nearest_cases_do_not_depend_on_the_blocks(spark):
+    draw = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(draw.normal(size=(300, 8)))], "id long, v array<double>")
+    got = [sorted(map(tuple, K.similar_cases(rows, rows, k=3, dim=8, block=b, skip_self=True).collect())) for b in (4096, 10)]
+    assert got[0] == got[1] and len(got[0]) == 900
