@@ -23,7 +23,9 @@ Texts are split into pieces at punctuation and line ends, pieces into words.  Ev
    where a longer one is as frequent, and ranked per language with a limit that acts before the
    shuffle (:func:`ranked`).
 
-All sums are combined in tasks before the shuffle, so a hot passage is one row a task.
+All sums are combined in tasks before the shuffle, so a hot passage is one row a task.  What is frequent
+is in nearly every task, so each map runs in a few long tasks a core (:func:`long_tasks`): tables and
+rows sent follow the cores and the different phrases, not the number of splits of the input.
 
 Edge cases: null and empty texts have no words; a null language is ``und``, with rows of that name;
 repeated rows count each; ties rank by count, then by the phrase's bytes; a language without frequent
@@ -58,6 +60,8 @@ TOKENS, VOCABULARY = 3_000_000, 400_000
 HELD = 600_000
 STRETCH = 4096
 ROWS = 50_000
+#: Tasks of each map over the texts, per core of the cluster.
+WAVES = 2
 
 _BREAK = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"\n" * 10 + b" ")
 
@@ -123,6 +127,11 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.uint32)
 
 
+def long_tasks(docs: DataFrame) -> DataFrame:
+    """The same rows in at most ``WAVES`` partitions per core; a task's memory does not depend on its rows."""
+    return docs.coalesce(WAVES * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 # --- buckets -------------------------------------------------------------------------------------
 
 
@@ -364,6 +373,7 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: i
     if bits is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1
         bits = min(max(int(np.ceil(np.log2(max(size / BYTES_PER_BUCKET, 1)))), FEWEST_BITS), MOST_BITS)
+    docs = long_tasks(docs)
     pairs = frequent_buckets(docs, bits, least)
     triples = frequent_buckets(docs, bits, least, pairs)
     grams = cut(graph(docs, pairs, triples, bits, longest), "grams")

@@ -87,6 +87,18 @@ def test_blocks_partitions_and_stretches_do_not_show(spark, monkeypatch):
         assert run(frame(spark, rows).repartition(n), least=6, top=9, cover=80) == plain(rows, 6, 5, 9, 80)
 
 
+def test_rows_sent_follow_the_cores_and_not_the_splits(spark, monkeypatch):
+    rows, parts, real = made(5, 90, 20, 60), [], ph.graph
+
+    def graph(docs, *args):
+        parts.append(docs.rdd.getNumPartitions())
+        return real(docs, *args)
+
+    monkeypatch.setattr(ph, "graph", graph)
+    assert run(frame(spark, rows).repartition(60), least=5) == plain(rows, 5)
+    assert parts == [ph.WAVES * spark.sparkContext.defaultParallelism]
+
+
 def test_large_counts_have_exact_scores(spark):
     phrases = spark.createDataFrame([("en", 1, "a", 10**15), ("en", 1, "b", 10**15 + 1), ("en", 2, "a b", 10**15 - 7)], "lang string, size int, gram string, n long")
     totals = spark.createDataFrame([("en", 9 * 10**15)], "lang string, total long")
