@@ -71,6 +71,59 @@ def test_pagerank(spark):
     assert sum(got.values()) == pytest.approx(1.0)
 
 
+def stars(spark):
+    """40 small nodes between 5 hubs, two linked small nodes, a loop, a repeated and a turned edge."""
+    pairs = [(f"t{i}", f"h{j}") for i in range(40) for j in range(5) if (i * 7 + j * 3) % 4]
+    return pairs + [("t1", "t2"), ("h1", "h1"), ("t3", "h0"), ("h0", "t3"), ("h0", "h2"), ("x", "x"), ("x", "h4")]
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_pagerank_leaves_small_nodes_out_of_the_rounds(spark, monkeypatch, rounds):
+    from riskgraph.operators.graph import rank
+
+    pairs, written, real = stars(spark), [], rank.cut
+
+    def cut(df, tag="cut"):
+        out = real(df, tag)
+        written.extend([out.count()] if tag == "rank" else [])
+        return out
+
+    monkeypatch.setattr(rank, "cut", cut)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 1 / len(near))
+    for _ in range(rounds):
+        want = {v: 0.15 / len(near) + 0.85 * sum(want[u] / len(near[u]) for u in near[v]) for v in near}
+    got = spark.createDataFrame(pairs, "src string, dst string")
+    got = {x["id"]: x["rank"] for x in pagerank(got, max_iter=rounds, tol=0.0).collect()}
+    assert got == pytest.approx(want, abs=1e-14)
+    assert set(written) == {8}  # five hubs, the linked t1 and t2, and x with its loop
+
+
+def test_pagerank_of_small_nodes_counts_in_the_stop_rule(spark):
+    edges = spark.createDataFrame(stars(spark), "src string, dst string")
+    nodes = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
+    for tol in (1e-2, 1e-4):
+        a = {x["id"]: x["rank"] for x in pagerank(edges, tol=tol).collect()}
+        b = {x["id"]: x["rank"] for x in pagerank(edges, nodes, tol=tol).collect()}
+        assert a == pytest.approx(b, abs=1e-14)
+
+
+def test_hubs_do_not_meet_in_a_sorted_join(spark):
+    from riskgraph.operators.graph import build
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(9000).select(F.col("id").alias("v"), F.when(F.col("id") < 8000, 1).otherwise(F.col("id")).alias("k"))
+        nodes = rows.groupBy("k").agg(F.count("*").alias("degree"))
+        got = build.at_nodes(rows, "k", nodes, 9000)
+        assert sorted(tuple(r) for r in got.select("v", "degree").collect()) == [(i, 8000 if i < 8000 else 1) for i in range(9000)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_pagerank_stops_at_the_same_round_with_and_without_isolated_nodes(spark):
     pairs = [(0, 1), (1, 2), (2, 3), (1, 3)]
     a = {x["id"]: x["rank"] for x in pagerank(edges_of(spark, pairs), tol=1e-3).collect()}
