@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.functions import scalar as S
+from riskgraph.plans.lineage import cut, release
 from riskgraph.schema import ID, TARGET
 
 # Default training parameters.
@@ -31,11 +32,11 @@ class Scorer:
 
     def rows(self, df: DataFrame) -> DataFrame:
         """Exactly the model's columns; a missing or non-numeric one counts as 0, others are dropped."""
-        have = set(df.columns)
+        have = dict(df.dtypes)
         keep = [c for c in (ID,) if c in have]
         emb = ["embedding"] if self.emb_dim and "embedding" in have else []
         return df.select(*keep, *emb, *[
-            (S.number(F.col(c)) if c in have else F.lit(0.0)).alias(c) for c in self.columns])
+            (S.number(F.col(c), kind=have[c]) if c in have else F.lit(0.0)).alias(c) for c in self.columns])
 
     def score(self, df: DataFrame) -> DataFrame:
         """``TransactionID, fraud_score, risk_level, is_fraud_predicted, threshold, model_version``."""
@@ -85,9 +86,9 @@ def fit_scorer(df: DataFrame, columns, *, target: str = TARGET, trees: int = TRE
 
     ``validation`` names a boolean column; boosting stops early when its loss no longer falls.
     """
-    columns = list(columns)
+    columns, kinds = list(columns), dict(df.dtypes)
     x = df.select(
-        *[S.number(F.col(c)).alias(c) for c in columns],
+        *[S.number(F.col(c), kind=kinds.get(c)).alias(c) for c in columns],
         F.col(target).cast("double").alias("_y"),
         F.when(F.col(target) == 1, float(positive_weight)).otherwise(1.0).alias("_w"),
         *(["embedding"] if emb_dim else []),
@@ -99,7 +100,11 @@ def fit_scorer(df: DataFrame, columns, *, target: str = TARGET, trees: int = TRE
         featuresCol="features", labelCol="_y", weightCol="_w", maxIter=trees, maxDepth=depth, stepSize=step,
         subsamplingRate=subsample, seed=seed, cacheNodeIds=False,
         **({"validationIndicatorCol": "_val"} if validation else {}))
-    model = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), gbt]).fit(x)
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+    # Training reads its rows several times, so they are put together once.
+    x = cut(assembler.transform(x).select("features", "_y", "_w", *(["_val"] if validation else [])), "training")
+    model = PipelineModel([assembler, gbt.fit(x)])
+    release(x)
     return Scorer(model, columns, threshold, emb_dim=emb_dim)
 
 
