@@ -120,6 +120,8 @@ def test_hubs_do_not_meet_in_a_sorted_join(spark):
         nodes = rows.groupBy("k").agg(F.count("*").alias("degree"))
         got = build.at_nodes(rows, "k", nodes, 9000)
         assert sorted(tuple(r) for r in got.select("v", "degree").collect()) == [(i, 8000 if i < 8000 else 1) for i in range(9000)]
+        assert "BroadcastHashJoin" in build.average_neighbour_degree(
+            spark.createDataFrame([("a", "b")], "src string, dst string"))._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
