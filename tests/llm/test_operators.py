@@ -417,6 +417,35 @@ def test_lm_beats_the_base(spark):
     assert got[0] > got[1]
 
 
+def test_lm_counts_every_position_of_the_running_text(spark):
+    """What comes before a byte reaches over words, and each token counts, as in plain loops."""
+    rows = [(i, t) for i, t in enumerate(["Ab cd  ab", "ab\tcd ab", None, "abcdefghij x", "cd ab", "\u00e9 ab cd"] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = Counter()
+    for _, t in rows:
+        run = b" ".join([*(t or "").encode().lower().split(), b"", b""])
+        start = 0
+        for i, byte in enumerate(run):
+            want[min(i - start, 7), int.from_bytes(run[max(0, i - 5) : i], "big"), byte] += 1
+            start = i + 1 if byte == 32 else start
+    got = Counter()
+    for r in lm_scoring.alike(df).collect():
+        for code, n in zip(np.frombuffer(r.code, np.uint64).tolist(), np.frombuffer(r.n, np.int64).tolist(), strict=True):
+            got[code >> 48 & 7, code >> 8 & (1 << 40) - 1, code & 255] += n
+    assert got == want
+
+
+def test_lm_score_follows_the_order_of_words(spark):
+    rng = random.Random(5)
+    train = [" ".join(rng.choice(["qab wor", "zul mik", "hen dof"]) for _ in range(30)) for _ in range(200)]
+    held = [i for i in range(1000, 1100) if lm_scoring.fold_of(i, 10) == 0][:2]
+    rows = [(i, t) for i, t in enumerate(train)] + [(held[0], "qab wor zul mik hen dof"), (held[1], "wor qab mik zul dof hen")]
+    got = {r.doc_id: r for r in lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]].held_out and got[held[1]].held_out
+    assert abs(got[held[0]].base_score - got[held[1]].base_score) < 1e-9
+    assert got[held[0]].score > got[held[1]].score + 1
+
+
 def test_spelling_sums_to_one(spark):
     """All bytes after a prefix: the probabilities of their bits add up to one."""
     rng = np.random.default_rng(0)
