@@ -65,8 +65,11 @@ SHARDS = 512
 _CHUNK = 1 << 16
 #: Counts are kept in one byte: whole up to 64, then in steps of 1/12.
 _LEVELS = np.concatenate((np.arange(65), 64 * (13 / 12) ** np.arange(1, 192))).astype(np.float32)
+#: By the levels of zeros (high byte) and ones: stretched prediction, and whether more than one was seen.
+_STRETCH = (np.log(_LEVELS + np.float32(0.2))[None, :] - np.log(_LEVELS + np.float32(0.2))[:, None]).ravel()
+_SEEN = (_LEVELS[None, :] + _LEVELS[:, None] > 1).ravel()
 #: Scores of positions that a task remembers (bits of the index).
-MEMORY_BITS = 21
+MEMORY_BITS = 22
 
 _BASE = np.concatenate(([0], np.cumsum([1 << b for b in TABLE_BITS])))
 SLOTS = int(_BASE[-1])
@@ -450,41 +453,58 @@ class Mixer:
             weights = np.tile(np.array([0.0, 0.1, 0.2, 0.2, 0.3, 0.3], np.float32), (GATES, 1))
         self.weights = weights
         self.refine = refine
-        self.memory = None
+        self.memory = self.paired = None
+
+    def pairs(self) -> np.ndarray:
+        """Levels of zeros and ones of each slot in one number."""
+        value = self.shared.value
+        if value.ndim == 1:
+            return value
+        if self.paired is None:
+            self.paired = value[0].astype(np.uint16) << np.uint16(8) | value[1].astype(np.uint16)
+        return self.paired
 
     def inputs(self, slots, bit=None):
         """Stretched predictions (order, position) and the gate's longest context.
 
         With ``bit`` the position's own count is taken out, as it is not known before it is read.
         """
-        zeros, ones = (x.astype(np.uint8, copy=False) for x in self.shared.value)  # numbers of levels
+        pairs = self.pairs()
         x = np.empty((ORDERS, len(slots[0])), np.float32)
         longest = np.zeros(len(slots[0]), np.int64)
         for k, slot in enumerate(slots):
-            n0, n1 = _LEVELS[zeros[slot]], _LEVELS[ones[slot]]
-            if bit is not None:
-                n1 = np.maximum(n1 - bit, 0)
-                n0 = np.maximum(n0 - ~bit, 0)
+            pair = pairs.take(slot)
+            if bit is None:
+                np.take(_STRETCH, pair, out=x[k], mode="clip")
+                np.copyto(longest, k, where=_SEEN[pair])
+                continue
+            n0 = np.maximum(_LEVELS[pair >> 8] - ~bit, 0)
+            n1 = np.maximum(_LEVELS[pair & 255] - bit, 0)
             x[k] = np.log((n1 + np.float32(0.2)) / (n0 + np.float32(0.2)))
-            longest[n0 + n1 > 1] = k
+            np.copyto(longest, k, where=n0 + n1 > 1)
         return x, longest
 
     def mix(self, x, gate):
-        w = self.weights[gate]
-        z = w[:, 0] * x[0]
+        w = np.ascontiguousarray(self.weights.T)
+        z = w[0].take(gate) * x[0]
         for k in range(1, ORDERS):
-            z += w[:, k] * x[k]
-        return np.clip(z, -12, 12)
+            z += w[k].take(gate) * x[k]
+        return np.clip(z, -12, 12, out=z)
 
     def final(self, z, gate):
         """Mean of the mixed probability and what the map says of it in this gate."""
-        p = 1 / (1 + np.exp(-z.astype(float)))
+        p = 1 / (1 + np.exp(-z)).astype(float)
         if self.refine is not None:
-            at = (z + 12) * ((BUCKETS - 1) / 24)
+            at = (z + np.float32(12)) * np.float32((BUCKETS - 1) / 24)
             low = np.minimum(at.astype(np.int64), BUCKETS - 2)
-            share = at - low
-            p = (p + self.refine[gate, low] * (1 - share) + self.refine[gate, low + 1] * share) / 2
-        return np.clip(p, 1e-6, 1 - 1e-6)
+            at -= low
+            low += gate * BUCKETS
+            told = self.refine.ravel()
+            under = told.take(low)
+            low += 1
+            p += under + (told.take(low) - under) * at
+            p /= 2
+        return np.clip(p, 1e-6, 1 - 1e-6, out=p)
 
     def gate(self, longest, place, j):
         return (longest * 5 + _PLACE[place]) * 4 + j // 2
@@ -492,13 +512,13 @@ class Mixer:
     def spell(self, before, byte, place) -> np.ndarray:
         """Natural logarithm of the probability of each byte."""
         contexts, bases = [_hash(before, k) for k in range(ORDERS)], {}
-        out = np.zeros(len(byte))
+        out = np.ones(len(byte))
         for node, bit, j in _bits(byte):
             x, longest = self.inputs(_slots(contexts, node, bases))
             gate = self.gate(longest, place, j)
             p = self.final(self.mix(x, gate), gate)
-            out += np.log(np.where(bit, p, 1 - p))
-        return out.astype(np.float32)
+            out *= np.where(bit, p, 1 - p)
+        return np.log(out).astype(np.float32)
 
     def logs(self, s: Spelled) -> np.ndarray:
         """The same for all positions of ``s``: alike ones are spelled once and remembered."""
@@ -512,9 +532,9 @@ class Mixer:
         same = _alike(key[new])
         lead = np.flatnonzero(same == np.arange(len(new)))
         at, found = new[lead], np.empty(len(new), np.float32)
-        for i in range(0, len(at), BATCH):
-            part = at[i : i + BATCH]
-            found[lead[i : i + BATCH]] = self.spell(s.before[:, part], s.byte[part], s.place[part])
+        for i in range(0, len(at), 4 * BATCH):
+            part = at[i : i + 4 * BATCH]
+            found[lead[i : i + 4 * BATCH]] = self.spell(s.before[:, part], s.byte[part], s.place[part])
         out[new] = found[same]
         keys[slot[at]], values[slot[at]] = key[at], found[lead]
         return out
@@ -555,14 +575,14 @@ def _learn(shared):
 
 
 def bit_counts(positions: DataFrame) -> np.ndarray:
-    """Zeros and ones after every hashed context: ``2 x SLOTS`` numbers of levels."""
-    counts = np.zeros((2, SLOTS), np.uint8)
+    """Levels of zeros and ones after every hashed context, paired: ``SLOTS`` numbers."""
+    pairs = np.zeros(SLOTS, np.uint16)
     found = positions.mapInArrow(_bit_counts, COUNTS).groupBy("chunk").applyInArrow(_summed, COUNTS)
     for chunk, slot, *sides in zip(*found.toArrow().columns, strict=True):
         at = chunk.as_py() * _CHUNK + np.frombuffer(slot.as_py(), np.uint16).astype(np.int64)
-        for side, x in zip(counts, sides, strict=True):
-            side[at] = np.frombuffer(x.as_py(), np.uint8)
-    return counts
+        zeros, ones = (np.frombuffer(x.as_py(), np.uint8).astype(np.uint16) for x in sides)
+        pairs[at] = zeros << np.uint16(8) | ones
+    return pairs
 
 
 def fit(train: DataFrame) -> Mixer:
@@ -604,13 +624,15 @@ def text_scores(logs: np.ndarray, ids: np.ndarray, tokens: np.ndarray, counted:
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1])))
     before = np.empty(len(ids))
     before[order] = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
-    with np.errstate(divide="ignore"):
-        own = np.log(before / np.maximum(place, 1))
+    own = before / np.maximum(place, 1)
+    new = own == 0  # words not used before, the first of a text among them
     sums = []
     for model in (logs, np.logaddexp(logs, counted) - np.log(2)):
+        p = np.exp(model)
         for trust in OWN:
-            mixed = np.logaddexp(np.log1p(-trust) + model, np.log(trust) + own) if trust else model
-            sums.append(np.add.reduceat(np.where(place, mixed, model), start))  # nothing is known of a text's own words at first
+            # Nothing is known of a text's own words at its first; a long word's p may be too small for a number.
+            mixed = np.where(new, model + np.log1p(-trust) * (place > 0), np.log((1 - trust) * p + trust * own + 1e-300)) if trust else model
+            sums.append(np.add.reduceat(mixed, start))
     sums = np.array(sums)
     top = sums.max(axis=0)
     return (top + np.log(np.exp(sums - top).mean(axis=0))) / np.log(10)
