@@ -448,7 +448,7 @@ class Mixer:
     """Bit predictors of all orders, gated mixing weights and the final map."""
 
     def __init__(self, shared, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        self.shared = shared  # the broadcast bit counts
+        self.shared = shared  # the broadcast bit counts, packed or not
         if weights is None:
             weights = np.tile(np.array([0.0, 0.1, 0.2, 0.2, 0.3, 0.3], np.float32), (GATES, 1))
         self.weights = weights
@@ -457,11 +457,9 @@ class Mixer:
 
     def pairs(self) -> np.ndarray:
         """Levels of zeros and ones of each slot in one number."""
-        value = self.shared.value
-        if value.ndim == 1:
-            return value
         if self.paired is None:
-            self.paired = value[0].astype(np.uint16) << np.uint16(8) | value[1].astype(np.uint16)
+            value = self.shared.value
+            self.paired = np.frombuffer(pa.Codec("zstd").decompress(value, 2 * SLOTS), np.uint16) if isinstance(value, bytes) else value[0].astype(np.uint16) << np.uint16(8) | value[1].astype(np.uint16)
         return self.paired
 
     def inputs(self, slots, bit=None):
@@ -588,7 +586,8 @@ def bit_counts(positions: DataFrame) -> np.ndarray:
 def fit(train: DataFrame) -> Mixer:
     """The model of the running bytes of all training texts (columns ``doc_id``, ``text``)."""
     positions = alike(train)
-    shared = train.sparkSession.sparkContext.broadcast(bit_counts(positions))
+    # Most slots of a small corpus are empty; every executor keeps the broadcast on its disk.
+    shared = train.sparkSession.sparkContext.broadcast(pa.Codec("zstd").compress(bit_counts(positions).tobytes(), asbytes=True))
     learned = positions.mapInArrow(lambda b: _learn(shared)(b), "kind string, i int, a double, n double").groupBy("kind", "i").agg(
         F.sum("a").alias("a"), F.sum("n").alias("n")).toArrow().to_pandas()
     mixer = Mixer(shared)
