@@ -241,6 +241,33 @@ def test_shared_edges_without_hubs_are_the_exact_ones(spark):
     assert sorted((r["etype"], r["src"], r["dst"]) for r in e) == [("shared_address", 8, 9), ("shared_address", 9, 8)]
 
 
+def test_shared_edges_without_a_cap_are_all_pairs_in_blocks(spark, monkeypatch):
+    rows = [(i, i, 1.0, i, 5.0 if i < 30 else 6.0, 1.0, "x.com", "mobile", f"d{i % 20}", 0) for i in range(40)]
+    df = tx_frame(spark, rows)
+    m = B.fit_graph(df)
+    monkeypatch.setattr(B, "PAIR_BLOCK", 7)
+    e = B.shared_card_edges(m.keyed(df), m.nodes, cap=None).collect()
+    want = [("shared_address", a, b) for a in range(40) for b in range(40) if a != b and (a < 30) == (b < 30)]
+    want += [("shared_device", a, b) for a in range(40) for b in range(40) if a != b and a % 20 == b % 20]
+    assert sorted((r["etype"], r["src"], r["dst"]) for r in e) == sorted(want)
+
+
+def test_shared_card_edges_query_leaves_no_pair_out(spark, sf):
+    """Against all pairs in SQL: before, a key of more than 200 pairs gave 200 draws."""
+    import duckdb
+    from riskgraph.queries import graph as Q
+
+    con = duckdb.connect()
+    for t in ("events", "customer", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = con.execute(f"""WITH {Q.HET_SQL}, k AS (SELECT 'shared_address' AS etype, k_address AS key, k_card FROM het
+        UNION SELECT 'shared_device', k_device, k_card FROM het),
+        sm AS (SELECT etype, k.key, idx FROM k JOIN nodes n ON n.ntype = 'card' AND n.key = k_card)
+        SELECT a.etype, a.idx, b.idx FROM sm a JOIN sm b ON a.etype = b.etype AND a.key = b.key AND a.idx <> b.idx""").fetchall()
+    got = [tuple(r) for r in Q.shared_card_edges(spark, sf).select("etype", "src", "dst").collect()]
+    assert sorted(got) == sorted(want) and len(got) > 0
+
+
 def test_peer_limit_keeps_the_smallest_peers(spark):
     rows = [(i, i, 1.0, i, 5.0, 1.0, "x.com", "mobile", f"d{i}", 0) for i in range(30)]
     got = {}
