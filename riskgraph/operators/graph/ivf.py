@@ -6,8 +6,9 @@ found has its true cosine, and with all cells probed both operators agree.
 
 * Cells are learned from at most ``sample`` cases chosen by hash, their number is the root of the number
   of cases, at most :data:`MOST_CELLS`; the centres are the only thing that is broadcast.
-* Every case lies in one cell.  A cell of more than ``block`` cases is cut into blocks, and so are its
-  queries, so a group has at most twice ``block`` vectors however many cases fall into one cell.
+* Every case lies in one cell.  Cells are packed, a cell of more cases than a pack is cut, and a query goes once to a
+  pack in which it probes a cell, with one bit per cell there: copies of a query follow the packs, not the cells
+  probed.  Queries are cut into blocks too, so a group is bounded however many cases fall into one cell.
 * :func:`tune` measures, on a stated number of queries, in which cell of a query's order its true
   neighbours lie, and takes as many probes as the wanted recall needs.
 """
@@ -24,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskgraph.operators.graph.knn import similar_cases, unit_vectors
+from riskgraph.operators.graph.knn import best_matches, block_counts, similar_cases, unit_vectors
 from riskgraph.plans.lineage import cut
 
 MOST_CELLS = 4096
@@ -97,55 +98,98 @@ def fit_ivf(bank: DataFrame, *, case_id: str = "id", case_vec: str = "v", dim: i
     return IvfIndex(placed, centers, min(probes, len(centers)), dim)
 
 
+def _packs(sizes: dict[int, int], block: int) -> list[list[int]]:
+    """Cells of every pack: as many as hold ``block`` cases together; a larger cell has packs of its own."""
+    packs, room = [], 0
+    for cell in sorted(sizes):
+        n = sizes[cell]
+        if n > block:
+            packs.extend([[cell]] * ceil(n / block))
+            room = 0
+        elif n <= room:
+            packs[-1].append(cell)
+            room -= n
+        else:
+            packs.append([cell])
+            room = block - n
+    return packs
+
+
+def _probed(batch: pa.RecordBatch, centers: np.ndarray, probes: int, packs: list[list[int]]):
+    """``id, v, pack, bits``: a vector once for each pack with one of its ``probes`` nearest cells, and which they are."""
+    half = (centers * centers).sum(axis=1) / 2
+    probes = min(probes, len(centers))
+    step = max(1, min(PIECE_ROWS, PIECE_PRODUCTS // len(centers)))
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        n = part.num_rows
+        asked = np.ones((n, len(centers)), bool)
+        if probes < len(centers):
+            x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            order = np.argsort(half - np.round(x @ centers.T, 12), axis=1, kind="stable")[:, :probes]
+            asked[:] = False
+            np.put_along_axis(asked, order, True, axis=1)
+        for p, cells in enumerate(packs):
+            mine = asked[:, cells]
+            rows = np.nonzero(mine.any(axis=1))[0]
+            take = pa.array(rows)
+            bits = [x.tobytes() for x in np.packbits(mine[rows], axis=1)]
+            yield pa.RecordBatch.from_arrays([
+                part.column("id").take(take), part.column("v").take(take), pa.array(np.full(len(rows), p, np.int32)),
+                pa.array(bits, pa.binary())], names=["id", "v", "pack", "bits"])
+
+
 def search(queries: DataFrame, index: IvfIndex, *, k: int = 3, query_id: str = "id", query_vec: str = "v",
            block: int = 4096, skip_self: bool = False) -> DataFrame:
     """``query_id, case_id, cosine, rank``: the best ``k`` cases of the probed cells; equal cosines in case order."""
-    q = _in_cells(_units(queries, query_id, query_vec, index.dim), index.centers, index.probes).drop("nearness")
-
-    def blocks(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
-
+    q = _units(queries, query_id, query_vec, index.dim)
     # At most one row per cell, so as small as the centres.
-    sizes = F.broadcast(blocks(index.bank, "nb").join(blocks(q, "nq"), "cell"))
+    sizes = {r.cell: r.n for r in index.bank.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cases = sum(sizes.values())
+    nq, nb = block_counts(q.count(), cases, block)
+    packs = _packs(sizes, ceil(cases / nb))
+    first, cut_in = {}, {}
+    for p, cells in enumerate(packs):
+        for c in cells:
+            first.setdefault(c, p)
+            cut_in[c] = cut_in.get(c, 0) + 1
+    spark = index.bank.sparkSession
+    where = F.broadcast(spark.createDataFrame([(c, first[c], cut_in[c]) for c in sizes], "cell int, _first int, _cut int"))
+    shared = spark.sparkContext.broadcast((index.centers, packs))
+    probes = index.probes
+    qid, cid = q.schema["id"].dataType.simpleString(), index.bank.schema["id"].dataType.simpleString()
 
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        copies = F.explode(F.sequence(F.lit(0), F.col({"qb": "nq", "bb": "nb"}[other]) - 1))
-        mine = F.pmod(F.xxhash64("id"), F.col({"qb": "nq", "bb": "nb"}[own])).cast("int")
-        return side.join(sizes, "cell").select("cell", mine.alias(own), copies.alias(other), "id", "v")
+    def ask(batches):
+        for batch in batches:
+            yield from _probed(batch, shared.value[0], probes, shared.value[1])
 
-    qd, bd = dealt(q, "qb", "bb"), dealt(index.bank, "bb", "qb")
-    qid, cid = q.schema["id"].dataType.simpleString(), index.bank.schema["id"].dataType.simpleString()
+    qd = q.mapInArrow(ask, f"id {qid}, v array<double>, pack int, bits binary").withColumn(
+        "qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int"))
+    bd = index.bank.join(where, "cell").select(
+        "id", "v", "cell", (F.col("_first") + F.pmod(F.xxhash64(F.lit(5), "id"), F.col("_cut"))).cast("int").alias("pack"),
+        F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
 
     def best(qs: pa.Table, bs: pa.Table) -> pa.Table:
-        schema = {"query_id": qs.schema.field("id").type, "case_id": bs.schema.field("id").type, "cosine": pa.float64()}
-        if not qs.num_rows or not bs.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in schema.items()})
-        bs = bs.sort_by("id")
-        mat = _matrix(bs)
-        ids, asked, out = bs["id"].combine_chunks(), qs["id"].combine_chunks(), []
-        own, cases = np.array(asked.to_pylist(), object), np.array(ids.to_pylist(), object)
-        x = _matrix(qs)
-        for i in range(0, len(x), 1024):
-            sims = np.round(x[i : i + 1024] @ mat.T, 12)
-            if skip_self:
-                sims[own[i : i + 1024, None] == cases[None, :]] = -np.inf
-            order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            sim = np.take_along_axis(sims, order, axis=1)
-            keep = np.isfinite(sim)
-            rows = np.repeat(np.arange(len(sims)) + i, keep.sum(axis=1))
-            out.append(pa.table({"query_id": asked.take(pa.array(rows)), "case_id": ids.take(pa.array(order[keep])), "cosine": sim[keep]}))
-        return pa.concat_tables(out)
-
-    keys = ("cell", "qb", "bb")
+        def offer(nearest, mat, codes, cases):
+            cells = shared.value[1][bs["pack"][0].as_py()]
+            bits = np.frombuffer(b"".join(qs["bits"].to_pylist()), np.uint8).reshape(qs.num_rows, -1)
+            asked = np.unpackbits(bits, axis=1, count=len(cells)).astype(bool)
+            cell = cases["cell"].to_numpy()
+            if asked.all():
+                nearest.offer(mat, np.arange(len(mat)), codes=codes)
+                return
+            for j, c in enumerate(cells):
+                at = np.nonzero(cell == c)[0]
+                nearest.offer(mat[at], at, np.nonzero(asked[:, j])[0], None if codes is None else codes[at])
+
+        return best_matches(qs, bs, k, skip_self, offer)
+
+    keys = ("pack", "qb")
     near = qd.groupBy(*keys).cogroup(bd.groupBy(*keys)).applyInArrow(best, f"query_id {qid}, case_id {cid}, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "case_id")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _matrix(table: pa.Table) -> np.ndarray:
-    return table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-
-
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """Share of the exact matches that were found."""
     true = exact.select("query_id", "case_id")

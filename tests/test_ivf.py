@@ -67,3 +67,62 @@ def test_all_cells_of_a_batch_come_in_bounded_pieces():
     want = np.argsort((centers * centers).sum(axis=1) / 2 - np.round(x @ centers.T, 12), axis=1, kind="stable")
     assert np.array_equal(near["cell"].to_numpy().reshape(500, 300), want)
     assert near["v"][300 * 7 + 5].as_py() == x[7].tolist()
+
+
+def test_a_query_is_copied_for_packs_and_not_for_cells():
+    """With all of 300 cells probed a query goes to 3 packs; before, it went to 300 cells."""
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    x, centers = draw.normal(size=(50, 4)), draw.normal(size=(300, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(x.tolist())], names=["id", "v"])
+    packs = ivf._packs({c: 10 for c in range(300)}, 1000)
+    assert [len(p) for p in packs] == [100, 100, 100]
+    assert sum(p.num_rows for p in ivf._probed(batch, centers, 300, packs)) == 50 * 3
+    want = np.argsort((centers * centers).sum(axis=1) / 2 - np.round(x @ centers.T, 12), axis=1, kind="stable")[:, :7]
+    got = {i: set() for i in range(50)}
+    for part in ivf._probed(batch, centers, 7, packs):
+        for r in part.to_pylist():
+            bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=100)
+            got[r["id"]] |= {packs[r["pack"]][j] for j in np.nonzero(bits)[0]}
+    assert got == {i: set(w) for i, w in enumerate(want.tolist())}
+    # A cell of more cases than a pack is cut, and takes up no room beside others.
+    assert ivf._packs({0: 5, 1: 25, 2: 5, 3: 5, 4: 1}, 10) == [[0], [1], [1], [1], [2, 3], [4]]
+
+
+@pytest.mark.parametrize("skip", [False, True])
+def test_single_precision_rules_out_no_best_case(monkeypatch, skip):
+    """Near ties below single precision, copies, zero vectors and a row without numbers, against a full sort."""
+    import numpy as np
+    from riskgraph.operators.graph import knn
+
+    monkeypatch.setattr(knn, "CASES", 128)
+    monkeypatch.setattr(knn, "PRODUCTS", 4096)
+    monkeypatch.setattr(knn, "MEASURED", 100)
+    draw = np.random.default_rng(6)
+    mat = draw.normal(size=(700, 16))
+    mat[100:400] = mat[100] + draw.normal(size=(300, 16)) * 1e-9  # cosines that differ in the 9th digit and beyond
+    mat[400:500] = mat[400]
+    mat[500:505] = 0
+    mat[505:560, 3:] = 0
+    mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
+    x = np.concatenate([mat[::3], mat[400:420]])
+    mat[600] = np.nan
+    codes = np.arange(700) // 2 if skip else None
+    own = np.concatenate([np.arange(0, 700, 3) // 2, np.full(20, -1)]) if skip else None
+    n = knn.Nearest(x, 4, own)
+    n.offer(mat[:300], np.arange(300), codes=None if codes is None else codes[:300])
+    n.offer(mat[300:], np.arange(300, 700), codes=None if codes is None else codes[300:])
+    rows, cols, sims = n.best()
+    full = np.round(np.einsum("id,jd->ij", x, mat), 12)
+    full[:, 600] = -np.inf
+    if skip:
+        full[own[:, None] == codes[None, :]] = -np.inf
+    assert len(rows) == 4 * len(x)
+    for i in range(len(x)):
+        at = rows == i
+        want = np.sort(full[i])[::-1][:4]
+        assert np.allclose(sims[at], want, atol=2e-12, rtol=0)
+        assert np.allclose(full[i][cols[at]], want, atol=2e-12, rtol=0)
+        assert all(a < b for (a, s), (b, t) in zip(zip(cols[at], sims[at]), zip(cols[at][1:], sims[at][1:])) if s == t)
