@@ -145,3 +145,67 @@ def test_ordered_features_ask_the_state_once_a_bucket(spark):
     frames = list(p.handleExpiredTimer(("1",), Now(40 * 600_000), Now(60_000)))
     assert [len(f) for f in frames] == [40] and frames[0]["n_3600s"].tolist()[-1] == 7
     assert calls == ["exists", "update"] and h.timers[-1] == (40 * 10 + 1) * 60_000
+
+
+def test_a_shard_reads_and_writes_its_state_once_a_call():
+    """Fifty cards: before, each read and wrote its own entries; a minute of many rows lies apart."""
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, v):
+            calls.append("update")
+            self.held = v
+
+    class Map(dict):
+        getValue = dict.__getitem__
+        updateValue = dict.__setitem__
+        removeKey = dict.__delitem__
+
+    class Handle:
+        timers, large = set(), Map()
+
+        def getMapState(self, *a):
+            return self.large
+
+        def getValueState(self, *a):
+            return Value()
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs
+
+    h, p = Handle(), P.OrderedCards()
+    p.init(h)
+    cards, n = [str(c) for c in range(50)], P.INLINE + 1
+    rows = pd.DataFrame({"TransactionID": range(50 + n), "TransactionDT": [60 * c for c in range(50)] + [90] * n,
+                         "TransactionAmt": [1.0] * (50 + n), "entity": cards + ["7"] * n})
+    list(p.handleInputRows((1,), iter([rows]), Now(0)))
+    assert calls == ["update"] and h.timers == {60_000} and list(h.large) == [("7", "waiting", 1)]
+    h.timers.remove(60_000)  # as a timer that has passed
+    frames = list(p.handleExpiredTimer((1,), Now(30 * 60_000), Now(60_000)))
+    assert [len(f) for f in frames] == [30 + n] and calls == ["update", "get", "update"]
+    assert h.timers == {31 * 60_000} and list(h.large) == [("7", "kept", 1)]
+    busy = frames[0][frames[0]["card1"] == 7]
+    assert busy["n_3600s"].tolist() == list(range(1, n + 2))
